@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from stratolog.llm import chat, quality
+from stratolog.llm import chat, lm, quality
 
 QUERIES = {
     "op2_chat_format": chat.query,
+    "op5_lm_scoring": lm.query,
     "op9_quality_rules": quality.query,
 }
 

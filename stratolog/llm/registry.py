@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from stratolog.llm import chat, lm, quality
+from stratolog.llm import chat, lm, pieces, quality
 
 QUERIES = {
     "op2_chat_format": chat.query,
     "op5_lm_scoring": lm.query,
     "op9_quality_rules": quality.query,
+    "op10_sentencepiece": pieces.query,
 }
 
 ORACLES = {

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,24 @@ class Workspace:
             pass
 
 
+#: Bytes of text that one step of a worker handles at once; a longer text makes a step of its own.
+STEP_BYTES = 2 << 20
+
+
+def sliced(batches, text: str, most: int = STEP_BYTES):
+    """The batches cut into slices of bounded text size."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b[text]), 0).to_pylist()
+        lo, size = 0, 0
+        for k, n in enumerate(sizes):
+            if k > lo and size + n > most:
+                yield b.slice(lo, k - lo)
+                lo, size = k, 0
+            size += n
+        if lo < len(sizes):
+            yield b.slice(lo)
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each text; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

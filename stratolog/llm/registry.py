@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from stratolog.llm import chat, lm, pieces, quality, toxicity
+from stratolog.llm import chat, lm, packing, pieces, quality, toxicity
 
 QUERIES = {
     "op2_chat_format": chat.query,
     "op3_toxicity": toxicity.query,
+    "op4_packing": packing.query,
     "op5_lm_scoring": lm.query,
     "op9_quality_rules": quality.query,
     "op10_sentencepiece": pieces.query,

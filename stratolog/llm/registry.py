@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from stratolog.llm import chat, lm, packing, pieces, quality, toxicity
+from stratolog.llm import chat, lm, near, packing, pieces, quality, toxicity
 
 QUERIES = {
     "op2_chat_format": chat.query,
     "op3_toxicity": toxicity.query,
     "op4_packing": packing.query,
     "op5_lm_scoring": lm.query,
+    "op6_minhash_dedup": near.query,
     "op9_quality_rules": quality.query,
     "op10_sentencepiece": pieces.query,
 }
 
 ORACLES = {
     "op2_chat_format": chat.ORACLE,
+    "op6_minhash_dedup": near.ORACLE,
     "op9_quality_rules": quality.ORACLE,
 }

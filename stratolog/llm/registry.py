@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratolog.llm import chat, lm, near, packing, pieces, quality, toxicity
+from stratolog.llm import chat, lm, near, packing, pieces, quality, toxicity, vectors
 
 QUERIES = {
     "op2_chat_format": chat.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_packing": packing.query,
     "op5_lm_scoring": lm.query,
     "op6_minhash_dedup": near.query,
+    "op8_embedding_dedup": vectors.query,
     "op9_quality_rules": quality.query,
     "op10_sentencepiece": pieces.query,
 }
@@ -17,5 +18,6 @@ QUERIES = {
 ORACLES = {
     "op2_chat_format": chat.ORACLE,
     "op6_minhash_dedup": near.ORACLE,
+    "op8_embedding_dedup": vectors.ORACLE,
     "op9_quality_rules": quality.ORACLE,
 }

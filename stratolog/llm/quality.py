@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratolog.llm.shared import set_aside
+
 #: Common function words of English, German, French and Spanish.
 STOP_WORDS = (
     "the of and to in a is that for it as with by on are be this was from or an at not have but "
@@ -115,9 +117,8 @@ def quality_verdict(docs: DataFrame, text: str = "text", thresholds=THRESHOLDS)
 
 def quality_filter(docs: DataFrame, text: str = "text", thresholds=THRESHOLDS) -> DataFrame:
     """The rows of docs whose text passes the table, with their own columns only."""
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    inner = docs.toDF(*names)
-    out = quality_verdict(inner, names[docs.columns.index(text)], thresholds).filter("kept")
+    inner, names = set_aside(docs, text)
+    out = quality_verdict(inner, text, thresholds).filter("kept")
     return out.select(*names).toDF(*docs.columns)
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratolog.llm.shared import Workspace, held_out
+from stratolog.llm.shared import Workspace, held_out, set_aside
 
 #: Labelled rows that are learned from, at most.
 SAMPLE = 20_000
@@ -292,8 +292,8 @@ def score_texts(docs: DataFrame, model: ToxicityModel, text: str = "text", out:
 
 def toxicity_filter(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score below the threshold, with their own columns."""
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    scored = score_texts(docs.toDF(*names), model, names[docs.columns.index(text)], "score")
+    inner, names = set_aside(docs, text)
+    scored = score_texts(inner, model, text, "score")
     return scored.filter(F.col("score") < threshold).select(*names).toDF(*docs.columns)
 
 

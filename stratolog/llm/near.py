@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from stratolog.llm import sketch
 from stratolog.llm.components import components
-from stratolog.llm.shared import Workspace, sliced, text_bytes
+from stratolog.llm.shared import Workspace, set_aside, sliced, text_bytes
 from stratolog.llm.shingles import shingle_sets
 
 #: Per cent.
@@ -179,8 +179,9 @@ def near_components(docs: DataFrame, similarity: int = SIMILARITY, hub_rounds: i
 
 def near_dedup(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """docs with one document, the smallest doc_id, of each group of near copies."""
-    kept = near_components(docs.select("doc_id", "text"), similarity).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    inner, names = set_aside(docs, "doc_id", "text")
+    gone = near_components(docs.select("doc_id", "text"), similarity).filter("not kept").select(F.col("doc_id").alias("_of")).distinct()
+    return inner.join(gone, F.col("doc_id") == F.col("_of"), "left_anti").select(*names).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf: str) -> DataFrame:

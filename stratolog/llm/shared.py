@@ -45,6 +45,12 @@ class Workspace:
             pass
 
 
+def set_aside(docs: DataFrame, *used: str) -> tuple[DataFrame, list[str]]:
+    """docs with all columns but the used ones renamed out of an operator's way, and the names."""
+    names = [c if c in used else f"_x{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), names
+
+
 #: Bytes of text that one step of a worker handles at once; a longer text makes a step of its own.
 STEP_BYTES = 2 << 20
 
@@ -63,6 +69,19 @@ def sliced(batches, text: str, most: int = STEP_BYTES):
             yield b.slice(lo)
 
 
+def gathered(batches, rows: int):
+    """The batches joined to larger ones of at least so many rows, the last one aside."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += len(b)
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each text; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

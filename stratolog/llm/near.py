@@ -32,6 +32,8 @@ SIMILARITY = 75
 ROWS = 5
 #: More hubs of the largest component that the other members of a group meet before they meet all.
 HUB_ROUNDS = 2
+#: Larger groups are compared in blocks of so many members.
+SMALL, BLOCK = 24, 256
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -83,8 +85,62 @@ class Verifier:
         self.docs, self.space, self.similarity = docs.select(F.col("doc_id").alias("rep"), "text"), space, similarity
         self.known: DataFrame | None = None
 
-    def _sets(self, pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+    def shared_sizes(self, ids: DataFrame) -> DataFrame:
+        """(rep, n, shared): sizes of the sets of ids (rep), and shingles that another of them has too."""
+
+        def run(batches):
+            for b in batches:
+                for r, s in zip(b["rep"].to_pylist(), b["shingles"].to_pylist()):
+                    h = np.frombuffer(s, np.int64)
+                    for lo in range(0, len(h), 50_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h[lo : lo + 50_000]), r)), pa.array(h[lo : lo + 50_000])], ["rep", "shingle"])
+
+        sets = self._sets(ids).join(ids, "rep")
+        alone = sets.mapInArrow(run, "rep long, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("rep").alias("rep")).filter("k = 1")
+        own = alone.groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
+        n = F.expr("octet_length(shingles) div 8")
+        return sets.select("rep", n.alias("n")).join(own, "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
+
+    def confirm_within(self, groups: DataFrame) -> DataFrame:
+        """Links (a, b) between components within each group of groups (key, members, rep, component).
+
+        A group is dealt out as pairs of blocks, and each gives the links that it finds, not its pairs.
+        """
+        least = self.similarity
+        sets = self._sets(groups.select("rep").distinct())
+        parts = F.ceil(F.col("members") / BLOCK).cast("int")
+        own = F.pmod(F.xxhash64("rep"), parts.cast("long")).cast("int")
+        other = F.explode(F.sequence(F.lit(0), parts - 1))
+        dealt = groups.withColumns({"own": own, "other": other}).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("members", "other")
+
+        def block(table: pa.Table) -> pa.Table:
+            t = table.combine_chunks()
+            rep, comp, own_ = t["rep"].to_numpy(), t["component"].to_numpy(), t["own"].to_numpy()
+            each = [np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()]
+            n = np.array([len(x) for x in each])
+            values, at, k = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
+            doc, fine = np.repeat(np.arange(len(each)), n), (k > 1)[at]
+            column = (np.cumsum(k > 1) - 1)[at[fine]]
+            same = np.zeros((len(each), len(each)), np.float32)
+            for lo in range(0, int((k > 1).sum()), 4096):
+                m = np.zeros((len(each), 4096), np.float32)
+                part = (column >= lo) & (column < lo + 4096)
+                m[doc[fine][part], column[part] - lo] = 1
+                same += m @ m.T
+            fit = 100.0 * same.astype(np.float64) >= least * (n[:, None] + n[None, :] - same.astype(np.float64))
+            fit &= comp[:, None] != comp[None, :]
+            if len(np.unique(own_)) > 1:
+                fit &= own_[:, None] != own_[None, :]
+            a, b = np.nonzero(np.triu(fit, 1))
+            # of the links between two components one is enough
+            pairs = np.sort(np.column_stack((comp[a], comp[b])), axis=1)
+            first = np.unique(pairs, axis=0, return_index=True)[1] if len(a) else a
+            return pa.table({"a": pa.array(rep[a[first]]), "b": pa.array(rep[b[first]])})
+
+        with_sets = dealt.join(sets, "rep").select("key", "i", "j", "rep", "component", "own", "shingles")
+        return with_sets.groupBy("key", "i", "j").applyInArrow(block, "a long, b long")
+
+    def _sets(self, ids: DataFrame) -> DataFrame:
         if self.known is not None:
             ids = ids.join(self.known.select("rep"), "rep", "left_anti")
 
@@ -99,7 +155,8 @@ class Verifier:
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """The written table of the pairs that reach the similarity; pairs is a written table."""
-        sets, least = self._sets(pairs), self.similarity
+        ids = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+        sets, least = self._sets(ids), self.similarity
 
         def run(batches):
             for b in batches:
@@ -160,8 +217,29 @@ def near_components(docs: DataFrame, similarity: int = SIMILARITY, hub_rounds: i
         if k < hub_rounds:
             new = odd.select(F.col("hub").alias("a"), F.col("rep").alias("b"))
         else:
-            odd = space.table(odd.select("key", F.col("rep").alias("b"), F.col("component").alias("cb")), "odd")
-            new = odd.join(told.select("key", F.col("rep").alias("a"), F.col("component").alias("ca")), "key").filter("ca <> cb").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+            # groups with the same members need one look
+            there = space.table(told.join(split.select("key", "largest"), "key"), "there")
+            one = there.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"))
+            one = space.table(one.groupBy("members", "who").agg(F.min("key").alias("key")).select("key", "members"), "one")
+            there = space.table(there.join(one, "key"), "there")
+            # exact bounds: of a pair's shingles at most those are common that some other member has as well
+            sizes = verifier.shared_sizes(space.table(there.select("rep").distinct(), "members"))
+            can = space.table(sizes.filter(100 * F.col("shared") >= similarity * F.col("n")), "can")
+            all_ = space.table(there.join(can, "rep"), "able")
+            side = lambda x: all_.select("key", F.col("rep").alias(x), F.col("component").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("shared").alias(f"s{x}"))
+            small = all_.filter((F.col("members") <= SMALL) & (F.col("component") != F.col("largest")))
+            most = F.least("sa", "sb")
+            able = (F.col("ca") != F.col("cb")) & (100 * most >= similarity * (F.col("na") + F.col("nb") - most))
+            odd = space.table(small.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("shared").alias("sb")), "odd")
+            met = odd.join(side("a"), "key").filter(able)
+            new = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+            # large ones are compared in blocks
+            large = space.table(all_.filter(F.col("members") > SMALL).select("key", "members", "rep", "component"), "large")
+            if large.limit(1).count():
+                found = space.table(verifier.confirm_within(large), "links")
+                if found.limit(1).count():
+                    links = links.union(found)
+                    label = components(links, space)
         new = space.table(plausible(space.table(new.distinct(), "new"), reps, similarity), "plausible")
         if new.limit(1).count():
             found = verifier.confirm(new)

@@ -21,6 +21,17 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Rows of an Arrow batch between Spark and Python where the session leaves the default of 10,000 rows:
+#: with sets and long texts in its rows such a batch can outgrow an executor.
+BATCH_ROWS = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    if int(spark.conf.get(_ROWS, "10000")) == 10_000:
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
+
+
 class Workspace:
     """Intermediate tables as Parquet in the shared folder, which cut lineage and outlive executors.
 
@@ -28,6 +39,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession):
+        bound_batches(spark)
         self.spark, self.at = spark, f"{shared_folder(spark)}/stratolog-{uuid.uuid4().hex}"
         atexit.register(self.close)
 

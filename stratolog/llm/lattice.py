@@ -281,14 +281,18 @@ class BatchLattice:
             scale = np.where(fine, 1 / np.where(fine, alpha[-1], 1), 0.0)
             beta = [np.zeros(len(at)) for _ in ends]
             beta[-1] += scale
+            found = {True: ([], []), False: ([], [])}
             for j in range(len(ends) - 1, -1, -1):
                 for i, idx in ends[j]:
-                    if i < 0:
-                        initial += np.bincount(idx, self.w_initial[k][idx] * beta[j], len(initial))
-                    else:
-                        p = self.w_further[k][idx] * beta[j]
+                    p = (self.w_initial if i < 0 else self.w_further)[k][idx] * beta[j]
+                    if i >= 0:
                         beta[i] += p
-                        further += np.bincount(idx, p * alpha[i], len(further))
+                        p = p * alpha[i]
+                    found[i < 0][0].append(idx)
+                    found[i < 0][1].append(p)
+            for first, sums in ((True, initial), (False, further)):
+                if found[first][0]:
+                    sums += np.bincount(np.concatenate(found[first][0]), np.concatenate(found[first][1]), len(sums))
         for names, sums, slow in ((self.models[k].initial, initial, slow_i), (self.models[k].further, further, slow_f)):
             if slow:
                 at = {p: i for i, p in enumerate(names)}

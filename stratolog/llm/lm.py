@@ -29,16 +29,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratolog.llm.lattice import BatchLattice, PieceVocab, WordModel, refit, word_model
-from stratolog.llm.shared import Workspace, held_out, split_words, text_bytes
+from stratolog.llm.shared import Workspace, gathered, held_out, split_words, text_bytes
 
 VOCABULARY = "piece_bpe_32k.model"
 EM_ROUNDS = 2
 #: Classes besides the one of all texts of rarer classes.
 CLASSES = 7
 #: At most so many words, the most frequent ones, are looked up in a broadcast and not by a join.
-FREQUENT = 300_000
+FREQUENT = 200_000
 #: Words that a task counts before it passes them on.
 HELD = 400_000
+#: Distinct words whose lattices are worked on at once.
+STEP_WORDS = 100_000
 
 
 def count_words(docs: DataFrame, classes: int) -> DataFrame:
@@ -74,7 +76,7 @@ def _expect(vocab: PieceVocab, models: list[WordModel]):
     def run(batches):
         lattice = BatchLattice(vocab, models)
         sums: list = [None] * len(models)
-        for b in batches:
+        for b in gathered(batches, STEP_WORDS):
             words, counts = _texts(b["word"]), [b[f"c{k}"].to_pylist() for k in range(len(models))]
             for k in range(len(models)):
                 own = [w for w, c in zip(words, counts[k]) if c]
@@ -171,7 +173,7 @@ def score_texts(docs: DataFrame, held, by=None, vocabulary: str | None = None, i
 
     def weigh(batches):
         lattice = BatchLattice(vocab, models)
-        for b in batches:
+        for b in gathered(batches, STEP_WORDS):
             of = np.column_stack([b[f"c{k}"].to_numpy() for k in range(k_all)])
             base, out = scores(of.sum(axis=1), of, lattice.log_probabilities(_texts(b["word"])))
             yield pa.RecordBatch.from_arrays([b["word"], b["n"], pa.array(of.sum(axis=1) > 0), pa.array(base), *[pa.array(x) for x in out.T.copy()]], ["word", "n", "seen", "base", *lp])

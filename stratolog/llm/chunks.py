@@ -24,6 +24,8 @@ from stratolog.llm.shingles import mix
 from stratolog.llm.spans import pack_spans, removal_report, removed_text
 
 REACH, LONGEST, LEAST = 24, 512, 64
+#: Bytes of a text that are hashed at once.
+PART = 1 << 20
 GEAR = mix(np.arange(1, 257, dtype=np.uint64)).astype(np.uint32)
 
 
@@ -52,13 +54,19 @@ def chunk_ends(raw: bytes) -> np.ndarray:
         return np.zeros(0, np.int64)
     data = np.frombuffer(raw, np.uint8)
     ends = np.zeros(0, np.int64)
-    if n > 2 * REACH + 1:
-        h = gear_hashes(data)
-        near = _window_max(h, REACH)  # near[i]: the largest of h[i : i + REACH]
-        at = np.arange(REACH, n - REACH)
-        own = h[at]
-        at = at[(own > near[at - REACH]) & (own > near[at + 1])]
-        ends = at + 1
+    found = []
+    for lo in range(0, n, PART):  # an end depends on the bytes around it only
+        left = max(0, lo - REACH - 32)
+        part = data[left : lo + PART + REACH + 1]
+        if len(part) > 2 * REACH + 1:
+            h = gear_hashes(part)
+            near = _window_max(h, REACH)  # near[i]: the largest of h[i : i + REACH]
+            at = np.arange(REACH, len(part) - REACH)
+            own = h[at]
+            at = at[(own > near[at - REACH]) & (own > near[at + 1])] + left
+            found.append(at[(at >= lo) & (at < lo + PART)] + 1)
+    if found:
+        ends = np.concatenate(found)
         for _ in range(3):  # a character has three following bytes at most
             ends = ends + ((data[np.minimum(ends, n - 1)] & 0xC0) == 0x80) * (ends < n)
         ends = np.unique(ends[ends < n])

@@ -34,7 +34,9 @@ SAMPLE = 20_000
 THRESHOLD = 0.3
 #: A term is learned if seen in so many contexts of toxic texts, and this many times likelier there.
 CONTEXTS, LIFT = 4, 20.0
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
+#: More weight of one kind than this doesn't count.
+MOST = 12.0
 
 #: Words of the grammar in English, German, French and Spanish.
 TARGETS = "you your yours he she they him her them this these those du dich dir ihr euch er sie tu toi te vous il elle eux tú usted ustedes él ella ellos".split()
@@ -172,12 +174,12 @@ class ToxicityModel:
     weights: list[float]
 
     def score(self, features: list[float]) -> float:
-        z = self.bias + sum(w * math.log1p(x) for w, x in zip(self.weights, features))
+        z = self.bias + sum(w * min(x, MOST) for w, x in zip(self.weights, features))
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
 #: What holds without labels: a matched clause is likely toxic.
-UNTAUGHT = ToxicityModel({w: 3.0 for w in INSULTS}, -4.0, [3.0, 3.5, 2.0, 1.5, 3.0])
+UNTAUGHT = ToxicityModel({w: 3.0 for w in INSULTS}, -4.0, [1.4, 1.5, 1.2, 1.0, 4.0])
 
 
 def _terms(text: str) -> set[str]:
@@ -187,7 +189,7 @@ def _terms(text: str) -> set[str]:
 
 def _fit(x: np.ndarray, y: np.ndarray) -> tuple[float, list[float]]:
     """Logistic regression by Newton steps: one effect shared by all kinds, and small deviations from it."""
-    x = np.log1p(x)
+    x = np.minimum(x, MOST)
     z = np.column_stack([np.ones(len(x)), x.sum(axis=1), x])
     ridge = np.array([0.01, 0.01, *[2.0] * x.shape[1]])
     b = np.zeros(z.shape[1])
@@ -254,6 +256,13 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn, sample: int = SAMPLE) -
         # in few contexts for its texts: a copied passage, not a word
         if v >= max(CONTEXTS, 0.5 * t):
             found[term] = math.log((min(v, t) + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
+    # a stem must earn its place by what it finds beyond the best word or longer stem that it covers
+    for k in sorted((k for k in found if k.endswith("*")), key=len, reverse=True):
+        under = [likely[x] for x in found if x != k and x.startswith(k[:-1])]
+        if under:
+            t, c = max(under)
+            if (likely[k][0] - t + 0.5) / toxic < LIFT * (likely[k][1] - c + 0.5) / clean:
+                del found[k]
     # the fixed insults hold unless clean texts speak against them
     odd = {r["term"] for r in counts.filter(F.col("term").isin(INSULTS) & (odds < 1)).collect()}
     for w in INSULTS:

@@ -11,13 +11,14 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
+from itertools import chain, repeat
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Cached words at most; a full cache starts anew.
-HELD = 600_000
+HELD = 1_000_000
 _LATIN = [chr(c) for c in range(0x250)]
 _LETTERS = re.escape("".join(c for c in _LATIN if unicodedata.category(c)[0] == "L"))
 _NUMBERS = re.escape("".join(c for c in _LATIN if unicodedata.category(c)[0] == "N"))
@@ -58,6 +59,9 @@ class WordTokenizer:
             self.used += len(ids)
         self.flat, self.size, self.offset = [np.concatenate(self.flat)], [np.concatenate(self.size)], [np.concatenate(self.offset)]
 
+    def _look_up(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids of each): as the library codes each text, without special tokens."""
         parts, whole = [], {}
@@ -67,15 +71,19 @@ class WordTokenizer:
                 parts.append([])
             else:
                 parts.append(_PARTS.findall(t.lower()))
-        new = list(dict.fromkeys(w for p in parts for w in p if w not in self.index))
-        if new and len(new) + len(self.index) > self.held:
-            self._reset()
-            new = list(dict.fromkeys(w for p in parts for w in p))
-        if new:
-            self._learn(new)
-        get = self.index.__getitem__
+        words = list(chain.from_iterable(parts))
+        at = self._look_up(words)
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            new = list(dict.fromkeys(words[k] for k in missing))
+            if len(new) + len(self.index) > self.held:
+                self._reset()
+                self._learn(list(dict.fromkeys(words)))
+                at = self._look_up(words)
+            else:
+                self._learn(new)
+                at[missing] = self._look_up([words[k] for k in missing])
         counts, flats = np.zeros(len(texts), np.int64), []
-        at = np.fromiter((get(w) for p in parts for w in p), np.int64, sum(map(len, parts)))
         size, offset, flat = self.size[0][at], self.offset[0][at], self.flat[0]
         ids = flat[np.repeat(offset - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
         cuts = np.append(0, np.cumsum(size))

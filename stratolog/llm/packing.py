@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from stratolog.llm.shared import sliced
+from stratolog.llm.shared import prepare, sliced
 from stratolog.llm.tokens import tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
@@ -145,6 +145,7 @@ def pack_shard(ids: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, i
 
 def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, with_ids: bool = False, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with_ids its ids."""
+    prepare(docs.sparkSession)
     path = path or public_tokenizers.path(VOCABULARY)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 

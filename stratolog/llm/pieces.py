@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from stratolog.llm.lattice import SPACE, BatchLattice, PieceVocab, log_sum
-from stratolog.llm.shared import sliced
+from stratolog.llm.shared import prepare, sliced
 
 VOCABULARY = "piece_bpe_32k.model"
 SHARPNESS = 1.0
@@ -211,6 +211,7 @@ def _strings(column: pa.Array) -> list[str]:
 def encode(docs: DataFrame, path: str | None = None, sharpness: float = SHARPNESS, id: str = "doc_id", text: str = "text", out: str = "ids") -> DataFrame:
     """docs with the sampled ids of each text as an array column."""
     path = path or public_tokenizers.path(VOCABULARY)
+    prepare(docs.sparkSession)
 
     def run(batches):
         sampler = Sampler(path, sharpness)
@@ -226,6 +227,7 @@ def encode(docs: DataFrame, path: str | None = None, sharpness: float = SHARPNES
 def decode(coded: DataFrame, path: str | None = None, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """coded with the text that its ids stand for; null ids give empty text."""
     path = path or public_tokenizers.path(VOCABULARY)
+    prepare(coded.sparkSession)
 
     def run(batches):
         sampler = Sampler(path)
@@ -240,6 +242,7 @@ def decode(coded: DataFrame, path: str | None = None, ids: str = "ids", out: str
 def query(spark: SparkSession, sf: str) -> DataFrame:
     """Per document: pieces drawn, their CRC-32 (little-endian unsigned 32-bit ids), the SHA-256 of the decoded text, and whether that is the text."""
     path = public_tokenizers.path(VOCABULARY)
+    prepare(spark)
     docs = spark.read.schema("doc_id long, text string").parquet(f"{sf}/documents.parquet")
 
     def run(batches):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 
@@ -27,7 +28,12 @@ BATCH_ROWS = 1000
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def bound_batches(spark: SparkSession) -> None:
+def prepare(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches, and let Python workers find this package where it lies."""
+    home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    there = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if home not in there.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (home, there) if x)
     if int(spark.conf.get(_ROWS, "10000")) == 10_000:
         spark.conf.set(_ROWS, str(BATCH_ROWS))
 
@@ -39,7 +45,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession):
-        bound_batches(spark)
+        prepare(spark)
         self.spark, self.at = spark, f"{shared_folder(spark)}/stratolog-{uuid.uuid4().hex}"
         atexit.register(self.close)
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratolog.llm.shared import Workspace, held_out, set_aside
+from stratolog.llm.shared import Workspace, held_out, prepare, set_aside
 
 #: Labelled rows that are learned from, at most.
 SAMPLE = 20_000
@@ -288,6 +288,7 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn, sample: int = SAMPLE) -
 
 def score_texts(docs: DataFrame, model: ToxicityModel, text: str = "text", out: str = "score") -> DataFrame:
     """docs with the toxicity score of each text."""
+    prepare(docs.sparkSession)
 
     def run(batches):
         grammar = Grammar(model.insults)

@@ -111,7 +111,7 @@ class Verifier:
         parts = F.ceil(F.col("members") / BLOCK).cast("int")
         own = F.pmod(F.xxhash64("rep"), parts.cast("long")).cast("int")
         other = F.explode(F.sequence(F.lit(0), parts - 1))
-        dealt = groups.withColumns({"own": own, "other": other}).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("members", "other")
+        dealt = groups.join(sets, "rep").withColumns({"own": own, "other": other}).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("members", "other")
 
         def block(table: pa.Table) -> pa.Table:
             t = table.combine_chunks()
@@ -137,8 +137,7 @@ class Verifier:
             first = np.unique(pairs, axis=0, return_index=True)[1] if len(a) else a
             return pa.table({"a": pa.array(rep[a[first]]), "b": pa.array(rep[b[first]])})
 
-        with_sets = dealt.join(sets, "rep").select("key", "i", "j", "rep", "component", "own", "shingles")
-        return with_sets.groupBy("key", "i", "j").applyInArrow(block, "a long, b long")
+        return dealt.select("key", "i", "j", "rep", "component", "own", "shingles").groupBy("key", "i", "j").applyInArrow(block, "a long, b long")
 
     def _sets(self, ids: DataFrame) -> DataFrame:
         if self.known is not None:

@@ -3,9 +3,12 @@
 Matches are found by anchors. Of the K-byte strings in any 50 bytes the one with the smallest hash is an
 anchor; equal 50-byte strings so have equal anchors. Anchors of two documents or more are kept, with the
 context that their 50-byte windows span. A context that a smaller document has too is a match as a
-whole; only the other contexts, at the edges of passages and of edits, are resolved window by window. So
-texts without repeats cost one short row per anchor, interiors of repeats one per anchor, and no row
-is compared with another: each step takes the smallest doc_id per hash, in partial sums.
+whole; only the other contexts, at the edges of passages and of edits, are resolved window by window.
+
+Each of the three steps deals hashes out by range, as packed arrays of a few bytes per entry, in numbers
+that keep a range small. A batch of documents settles what it can among its own and sends one document's
+entries per hash, so a passage that is everywhere reaches its range once per batch, and no two entries are
+compared: each step takes the smallest doc_id per hash.
 
 Null text is empty. Rows with one doc_id are one document; null doc_ids come last and don't match each
 other. Equal documents lose all but their first copy. Texts under 50 bytes neither lose nor give anything.
@@ -15,9 +18,11 @@ Other columns are ignored, and kept by drop_matches.
 from __future__ import annotations
 
 import gc
+import time
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,8 +60,11 @@ def _sliding(f, x: np.ndarray, n: int) -> np.ndarray:
     return f(x[: len(x) - (n - k)], x[n - k :]) if n > k else x
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(position, hash, first window, last window) of each anchor: the windows in which it is smallest."""
+def anchors(data: np.ndarray, cuts: np.ndarray | tuple = (), length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(position, hash, first window, last window) of each anchor: the windows in which it is smallest.
+
+    No window reaches across a cut, where a text ends and another begins.
+    """
     n = len(data) - length + 1
     if n <= 0:
         z = np.zeros(0, np.int64)
@@ -64,6 +72,9 @@ def anchors(data: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndar
     w = length - k + 1
     h = window_hashes(data, k)
     low = _sliding(np.minimum, h, w)
+    if len(cuts):
+        across = (np.asarray(cuts)[:, None] - np.arange(1, length)[None, :]).ravel()
+        low[across[(across >= 0) & (across < n)]] = 0  # no hash is so small
     # p is smallest in some window that holds it if it equals the largest of their minima
     padded = np.concatenate((np.zeros(w - 1, np.uint64), low, np.zeros(w - 1, np.uint64)))
     p = np.flatnonzero(h == _sliding(np.maximum, padded, w))
@@ -86,8 +97,23 @@ def anchors(data: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndar
 
 def _each(batches):
     """Steps of several texts joined by a gap, as (doc ids, texts) of bounded size."""
+    unzip = zstandard.ZstdDecompressor().decompress
     for b in sliced(batches, "text", 1 << 20):
-        yield b, b["doc_id"].fill_null(_LAST).to_numpy(), text_bytes(b["text"])
+        texts = text_bytes(b["text"])
+        if pa.types.is_binary(b["text"].type):
+            texts = [unzip(t) if t else b"" for t in texts]
+        yield b, b["doc_id"].fill_null(_LAST).to_numpy(), texts
+
+
+def _zipped(docs: DataFrame) -> DataFrame:
+    """docs with each text as a compressed block, which halves what a join moves."""
+
+    def run(batches):
+        zip_ = zstandard.ZstdCompressor(level=1).compress
+        for b in sliced(batches, "text"):
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([zip_(t) if t else None for t in text_bytes(b["text"])], pa.binary())], ["doc_id", "text"])
+
+    return docs.mapInArrow(run, "doc_id long, text binary")
 
 
 def _context(data: np.ndarray, p, lo, hi, prefix) -> np.ndarray:
@@ -121,72 +147,180 @@ def _parts(raw: bytes):
             return
 
 
-def _anchor_rows(docs: DataFrame) -> DataFrame:
-    """(anchor, doc_id): the distinct anchors of each batch with the smallest and the largest document."""
+def _transposed(x: np.ndarray) -> bytes:
+    """Bytes of equal weight side by side, which compress well where values are close."""
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _restored(raw: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+_ROW = "range int, hash binary, doc binary, start binary, length binary"
+_FOUND = "doc_id long, start int, length int, whole boolean"
+#: Bytes of text whose entries a task settles among themselves before it deals them out.
+SETTLED = 8 << 20
+#: Bytes of text per range of hashes: bounds what one task gathers.
+PER_RANGE = 16 << 20
+_KNOWN = np.uint32(0xFFFFFFFF)
+
+
+def _rows(ranges, h, d, start, length):
+    """Packed rows, one for each range."""
+    order = np.argsort(ranges.astype(np.int16) if len(ranges) and max(abs(int(ranges.min())), int(ranges.max())) < 1 << 15 else ranges, kind="stable")
+    ranges, h, d, start, length = (x[order] for x in (ranges, h, d, start, length))
+    cuts = np.flatnonzero(np.concatenate(([True], ranges[1:] != ranges[:-1]))) if len(ranges) else np.zeros(0, np.int64)
+    ends = np.append(cuts[1:], len(ranges))
+    packed = [[_transposed(x[lo:hi]) for lo, hi in zip(cuts.tolist(), ends.tolist())] for x in (h, d.astype(np.int64), start.astype(np.uint32), length.astype(np.uint16))]
+    return pa.RecordBatch.from_arrays([pa.array(ranges[cuts].astype(np.int32)), *[pa.array(x, pa.binary()) for x in packed]], ["range", "hash", "doc", "start", "length"])
+
+
+def _by_hash(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(smallest doc, largest doc, whether first of its hash) of each entry's hash."""
+    low, high, first = np.empty(len(h), np.int64), np.empty(len(h), np.int64), np.zeros(len(h), bool)
+    if len(h):
+        order = np.argsort(h)
+        hs, ds = h[order], d[order]
+        new = np.concatenate(([True], hs[1:] != hs[:-1]))
+        cuts, group = np.flatnonzero(new), np.cumsum(new) - 1
+        low[order], high[order] = np.minimum.reduceat(ds, cuts)[group], np.maximum.reduceat(ds, cuts)[group]
+        first[order[cuts]] = True
+    return low, high, first
+
+
+def _dealt(docs: DataFrame, ranges: int, entries, only_shared: bool) -> DataFrame:
+    """(doc_id, start, length, whole) from the entries (hash, start, length) of each text.
+
+    only_shared: all entries whose hash two documents have. Otherwise entries that a smaller document has
+    are whole, and the others, unless entries.whole_only is set, not whole.
+    """
+    whole_only = getattr(entries, "whole_only", False)
+
+    def settle(held):
+        h, d, s, n = (np.concatenate(c) for c in zip(*held))
+        low, high, first = _by_hash(h, d)
+        # anchors have small hashes: their range is that of another hash
+        at = ((mix(h) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+        done = low < high if only_shared else d > low
+        if only_shared:
+            # what the batch knows to be shared is sent once, so that other batches learn of it
+            known = done & first
+            at_k, h_k, d_k, n_k = at[known], h[known], d[known], n[known]
+            send = ~done
+            at_s, h_s = np.concatenate((at[send], at_k)), np.concatenate((h[send], h_k))
+            out = (at_s, h_s.astype(np.uint32), np.concatenate((d[send], d_k)), np.concatenate((s[send].astype(np.uint32), np.full(len(h_k), _KNOWN))), np.concatenate((n[send], n_k)))
+        else:
+            send = ~done
+            out = (at[send], h[send], d[send], s[send].astype(np.uint32), n[send])
+        yield _rows(*out)
+        if done.any():
+            # ranges below 0 hold what is settled already
+            yield _rows(-1 - (d[done] % max(ranges, 1)), (h[done].astype(np.uint32) if only_shared else h[done]), d[done], s[done].astype(np.uint32), n[done])
 
     def run(batches):
-        for _, ids, texts in _each(batches):
-            hs, ds = [], []
-            for d, raw in zip(ids.tolist(), texts):
-                for _, part in _parts(raw):
-                    h = anchors(np.frombuffer(part, np.uint8))[1]
-                    hs.append(h)
-                    ds.append(np.full(len(h), d))
-            if not hs:
-                continue
-            h, d = np.concatenate(hs), np.concatenate(ds)
-            order = np.lexsort((d, h))
-            h, d = h[order], d[order]
-            differs = h[1:] != h[:-1]
-            keep = np.concatenate(([True], differs)) | np.concatenate((differs, [True])) if len(h) else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(d[keep])], ["anchor", "doc_id"])
-
-    return docs.mapInArrow(run, "anchor long, doc_id long")
-
-
-def _occurrences(docs: DataFrame) -> DataFrame:
-    """(anchor, context, doc_id, first, last): each anchor's windows."""
-
-    def run(batches):
-        for _, ids, texts in _each(batches):
-            columns: list[list] = [[] for _ in range(5)]
-            for d, raw in zip(ids.tolist(), texts):
-                for at, part in _parts(raw):
-                    data = np.frombuffer(part, np.uint8)
-                    p, h, lo, hi = anchors(data)
-                    if len(p):
-                        for c, v in zip(columns, (h.view(np.int64), _context(data, p, lo, hi, _prefix(data)).view(np.int64), np.full(len(p), d), (lo + at).astype(np.int32), (hi + at).astype(np.int32))):
-                            c.append(v)
-            if columns[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["anchor", "context", "doc_id", "first", "last"])
+        held, size = [], 0
+        for b, ids, texts in _each(batches):
+            spans = span_arrays(b["spans"]) if "spans" in b.schema.names else [None] * len(texts)
+            size += sum(map(len, texts))
+            for k, h, s, n in entries(texts, spans):
+                if len(h):
+                    held.append((h, ids[k], s, n))
+            if size >= SETTLED and held:
+                yield from settle(held)
+                held, size = [], 0
+        if held:
+            yield from settle(held)
+
+    kind = np.uint32 if only_shared else np.uint64
+
+    def meet(table: pa.Table) -> pa.Table:
+        t = table.combine_chunks()
+        h, d, s, n = (np.concatenate([_restored(x, k) for x in t[c].to_pylist()]) for c, k in (("hash", kind), ("doc", np.int64), ("start", np.uint32), ("length", np.uint16)))
+        if t["range"][0].as_py() < 0:
+            keep = np.ones(len(h), bool)
+            whole = np.full(len(h), not only_shared)
+        else:
+            low, high, _ = _by_hash(h, d)
+            if only_shared:
+                known = np.unique(h[s == _KNOWN])
+                keep = ((low < high) | np.isin(h, known)) & (s != _KNOWN)
+                whole = np.zeros(len(h), bool)
+            else:
+                whole = d > low
+                keep = whole if whole_only else np.ones(len(h), bool)
+        return pa.table({"doc_id": pa.array(d[keep]), "start": pa.array(s[keep].astype(np.int32)), "length": pa.array(n[keep].astype(np.int32)), "whole": pa.array(whole[keep])})
 
-    return docs.mapInArrow(run, "anchor long, context long, doc_id long, first int, last int")
+    return docs.mapInArrow(run, _ROW).groupBy("range").applyInArrow(meet, _FOUND)
 
 
-def _window_rows(docs: DataFrame) -> DataFrame:
-    """(window, doc_id, start): the windows of docs' spans, where start and length count windows."""
+#: Bytes of short texts that are joined, as one call for each text costs more than its bytes.
+JOINED = 1 << 18
 
-    def run(batches):
-        for b, ids, texts in _each(batches):
-            hs, ds, ss = [], [], []
-            for d, raw, (s, n) in zip(ids.tolist(), texts, span_arrays(b["spans"])):
-                where = np.unique(np.repeat(s - (np.cumsum(n) - n), n) + np.arange(int(n.sum())))
-                for at, part in _parts(raw):
-                    own = where[(where >= at) & (where <= at + len(part) - LENGTH)] - at
-                    if len(own):
-                        hs.append(window_hashes(np.frombuffer(part, np.uint8), LENGTH)[own])
-                        ds.append(np.full(len(own), d))
-                        ss.append((own + at).astype(np.int32))
-            if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ds)), pa.array(np.concatenate(ss))], ["window", "doc_id", "start"])
 
-    return docs.mapInArrow(run, "window long, doc_id long, start int")
+def _buffers(texts: list[bytes]):
+    """(bytes, text numbers, starts in the bytes, starts in the texts): short texts joined, long ones in parts."""
+    held, size = [], 0
+    for k, raw in enumerate([*texts, None]):
+        if held and (raw is None or size + len(raw) > JOINED):
+            n = np.cumsum([0] + [len(texts[i]) for i in held])
+            yield np.frombuffer(b"".join([texts[i] for i in held]), np.uint8), np.array(held), n[:-1], np.zeros(len(held), np.int64)
+            held, size = [], 0
+        if raw is None:
+            return
+        if len(raw) < LENGTH:
+            continue
+        if len(raw) > PART:
+            for at, part in _parts(raw):
+                yield np.frombuffer(part, np.uint8), np.array([k]), np.zeros(1, np.int64), np.array([at])
+        else:
+            held.append(k)
+            size += len(raw)
+
+
+def _all_anchors(texts, _):
+    """Entries (text number, hash, position, 0) of all anchors."""
+    for data, which, start, at in _buffers(texts):
+        p, h, _, _ = anchors(data, start[1:])
+        own = np.searchsorted(start, p, "right") - 1
+        yield which[own], h, p - start[own] + at[own], np.zeros(len(p), np.int64)
+
+
+def _contexts(texts, spans):
+    """Entries of the anchors at the spans' starts: (text number, context hash, first window, windows)."""
+    for data, which, start, at in _buffers(texts):
+        p, _, lo, hi = anchors(data, start[1:])
+        own = np.searchsorted(start, p, "right") - 1
+        end = np.append(start[1:], len(data))
+        wanted = []
+        for k, s0, e0, a0 in zip(which.tolist(), start.tolist(), end.tolist(), at.tolist()):
+            w = spans[k][0] - a0
+            wanted.append(w[(w >= 0) & (w < e0 - s0)] + s0)
+        fine = np.isin(p, np.concatenate(wanted))
+        p, lo, hi, own = p[fine], lo[fine], hi[fine], own[fine]
+        yield which[own], _context(data, p, lo, hi, _prefix(data)), lo - start[own] + at[own], hi - lo + 1
+
+
+def _windows(texts, spans):
+    """Entries of the windows in the spans, whose starts and lengths count windows."""
+    for data, which, start, at in _buffers(texts):
+        h, end = window_hashes(data, LENGTH), np.append(start[1:], len(data))
+        for k, s0, e0, a0 in zip(which.tolist(), start.tolist(), end.tolist(), at.tolist()):
+            s, n = spans[k]
+            where = np.unique(np.repeat(s - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))) - a0
+            where = where[(where >= 0) & (where <= e0 - s0 - LENGTH)]
+            yield np.full(len(where), k), h[where + s0], where + a0, np.full(len(where), LENGTH)
+
+
+_windows.whole_only = True
 
 
 def _release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files whose results have been written."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark delete shuffle files whose results have been written: it does so as it finds their owners gone."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def mark_matches(docs: DataFrame) -> DataFrame:
@@ -194,24 +328,21 @@ def mark_matches(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     space = Workspace(spark)
     own = docs.select("doc_id", "text")
-    shared = _anchor_rows(own).groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("anchor")
-    shared = space.table(shared, "anchors")
-    _release(spark)
-    met = _occurrences(own).join(shared, "anchor").select("context", "doc_id", "first", "last")
-    met = space.table(met, "occurrences")
-    _release(spark)
-    # the first document with a context has only windows to lose, and gives them to later ones
-    contexts = space.table(met.groupBy("context").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("high")).filter("owner < high").select("context", "owner"), "contexts")
-    told = met.join(contexts, "context", "left").select("doc_id", "first", "last", F.coalesce(F.col("doc_id") > F.col("owner"), F.lit(False)).alias("whole"))
-    told = space.table(told, "told")
-    whole = told.filter("whole").select("doc_id", F.col("first").alias("start"), (F.col("last") - F.col("first") + LENGTH).alias("length"))
-    edge = told.filter("not whole").select("doc_id", F.col("first").alias("start"), (F.col("last") - F.col("first") + 1).alias("length"))
-    edges = space.table(pack_spans(edge).withColumnRenamed("doc_id", "_of"), "edges")
-    key = F.coalesce(own["doc_id"], F.lit(_LAST))
-    windows = space.table(_window_rows(own.join(edges, key == edges["_of"]).drop("_of")), "windows")
+    total = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    ranges = max(1, min(1 << 30, -(-total // PER_RANGE)))
+
+    def with_spans(spans: DataFrame) -> DataFrame:
+        packed = space.table(pack_spans(spans).withColumnRenamed("doc_id", "_of"), "spans")
+        _release(spark)
+        texts = _zipped(own)
+        return texts.join(packed, F.coalesce(texts["doc_id"], F.lit(_LAST)) == packed["_of"]).select("doc_id", "text", "spans")
+
+    shared = _dealt(own, ranges, _all_anchors, True)
+    told = space.table(_dealt(with_spans(shared.select("doc_id", "start", "length")), ranges, _contexts, False), "told")
     _release(spark)
-    givers = space.table(windows.groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("high")).filter("owner < high").select("window", "owner"), "givers")
-    part = windows.join(givers, "window").filter("doc_id > owner").select("doc_id", "start", F.lit(LENGTH).alias("length"))
+    whole = told.filter("whole").select("doc_id", "start", (F.col("length") + LENGTH - 1).alias("length"))
+    edges = told.filter("not whole").select("doc_id", "start", "length")
+    part = _dealt(with_spans(edges), ranges, _windows, False).select("doc_id", "start", "length")
     spans = space.table(pack_spans(whole.union(part)).withColumnRenamed("doc_id", "_of"), "spans")
     _release(spark)
     return docs.join(spans, F.coalesce(docs["doc_id"], F.lit(_LAST)) == spans["_of"], "left").drop("_of")
@@ -225,3 +356,4 @@ def drop_matches(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf: str) -> DataFrame:
     return removal_report(mark_matches(spark.read.schema("doc_id long, text string").parquet(f"{sf}/documents.parquet")))
+

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -258,5 +259,39 @@ def test_neighbours_are_lexical():
     assert index.neighbours(0, unused).tolist() == [2] and index.neighbours(1, np.array([1, 0, 1, 1, 1], bool)).tolist() == [3]
 
 
+@pytest.mark.parametrize("shard", [packing.SHARD_TOKENS, 6000])
+def test_packing_joins_related_documents_of_all_partitions(spark, monkeypatch, library, shard):
+    """Two texts of one topic fill a window, and lie in different partitions."""
+    monkeypatch.setattr(packing, "SHARD_TOKENS", shard)
+    rnd = random.Random(4)
+    words = sorted(w[:-4] for w in library.library.get_vocab() if re.fullmatch("[a-z]{5,7}</w>", w))[:2000]
+    topics = [rnd.sample(words, 60) for _ in range(60)]
+    rows = [(100 * half + k, " ".join(rnd.choice(t) for _ in range(255))) for half in (0, 1) for k, t in enumerate(topics)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def together(df):
+        of = {}
+        for r in packing.pack(df, window=512).collect():
+            of.setdefault(r.doc_id, set()).add(r.sequence_id)
+        return {k for k in range(60) if of[k] & of[100 + k]}
+
+    parts = docs.filter("doc_id < 100").coalesce(1).unionAll(docs.filter("doc_id >= 100").coalesce(1))
+    got = together(parts)
+    assert len(got) >= (54 if shard == packing.SHARD_TOKENS else 45)
+    if shard == packing.SHARD_TOKENS:  # a leaf too large for a shard is salted by row
+        assert together(docs.repartition(5)) == got
+
+
+def test_shards_are_bounded():
+    first, parts = packing.shard_plan(np.array([3, 4, 5, 25, 1, 9, 2]), 10)
+    assert first.tolist() == [0, 0, 1, 2, 5, 5, 6] and parts.tolist() == [1, 1, 1, 3, 1, 1, 1]
+    a, b = np.arange(100, 160, dtype=np.uint32), np.arange(500, 560, dtype=np.uint32)
+    df = np.full(600, 3)
+    df[100:160] = 900
+    # a term of most texts of the corpus counts little, though few of the shard hold it
+    index = packing.ShardIndex([np.concatenate((a, b[:2])), a[:50], b[:2], b[30:]], packing.Corpus(1000, 60.0, df))
+    assert index.neighbours(0, np.array([0, 1, 1, 1], bool)).tolist()[0] == 2
+
+
 def test_hashes_are_sha256():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")

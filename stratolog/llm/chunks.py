@@ -6,7 +6,7 @@ in a document with a smaller doc_id is a copy; a run of copies of LEAST bytes or
 
 Ends are moved to the next start of a character, so what is kept is valid text. Null text is empty and
 loses nothing, nor does the first document of a passage. Rows with one doc_id are one document and
-don't take from each other; null doc_ids take from all others and from no null one. Other columns are
+don't take from each other, but each loses only what it holds itself; null doc_ids take from all others and from no null one. Other columns are
 ignored, and kept by drop_copies.
 """
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratolog.llm.shared import Workspace, set_aside, sliced, text_bytes
+from stratolog.llm.shared import Workspace, keyed, set_aside, sliced, text_bytes
 from stratolog.llm.shingles import mix
 from stratolog.llm.spans import pack_spans, removal_report, removed_text
 
@@ -82,38 +82,40 @@ def chunk_ends(raw: bytes) -> np.ndarray:
 
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
-    """(d1, d2, doc_id, start, length) of each chunk: a digest of 128 bits and where it is."""
+    """(d1, d2, doc_id, _row, start, length) of each chunk: a digest of 128 bits and where it is."""
 
     def run(batches):
         for b in sliced(batches, "text"):
-            doc, starts, ends, digests = [], [], [], []
-            for d, raw in zip(b["doc_id"].to_pylist(), text_bytes(b["text"])):
+            doc, rows, starts, ends, digests = [], [], [], [], []
+            for d, r, raw in zip(b["doc_id"].to_pylist(), b["_row"].to_pylist(), text_bytes(b["text"])):
                 e = chunk_ends(raw).tolist()
                 s = [0, *e[:-1]] if e else []
                 digests += [hashlib.blake2b(raw[x:y], digest_size=16).digest() for x, y in zip(s, e)]
                 doc += [d] * len(e)
+                rows += [r] * len(e)
                 starts += s
                 ends += e
             two = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), pa.array(doc, pa.int64()), pa.array(starts, pa.int32()), pa.array(np.array(ends, np.int64) - np.array(starts, np.int64)).cast(pa.int32())],
-                ["d1", "d2", "doc_id", "start", "length"],
+                [pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), pa.array(doc, pa.int64()), pa.array(rows, pa.int64()), pa.array(starts, pa.int32()), pa.array(np.array(ends, np.int64) - np.array(starts, np.int64)).cast(pa.int32())],
+                ["d1", "d2", "doc_id", "_row", "start", "length"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "d1 long, d2 long, doc_id long, start int, length int")
+    return docs.select("doc_id", "_row", "text").mapInArrow(run, "d1 long, d2 long, doc_id long, _row long, start int, length int")
 
 
 def mark_copies(docs: DataFrame) -> DataFrame:
     """docs with spans: the chunks that a document with a smaller doc_id holds too."""
     space = Workspace(docs.sparkSession)
+    docs = keyed(docs, space)
     rows = chunk_rows(docs)
     last = F.lit((1 << 63) - 1)  # null ids come last
     doc = F.coalesce("doc_id", last)
     owners = rows.groupBy("d1", "d2").agg(F.min(doc).alias("owner"), F.max(doc).alias("other")).filter("owner < other").drop("other")
     owners = space.table(owners, "owners")
-    copies = rows.join(owners, ["d1", "d2"]).filter(doc > F.col("owner")).select(doc.alias("doc_id"), "start", "length")
-    spans = space.table(pack_spans(copies), "spans").withColumnRenamed("doc_id", "_of")
-    return docs.join(spans, F.coalesce(docs["doc_id"], last) == F.col("_of"), "left").drop("_of")
+    copies = rows.join(owners, ["d1", "d2"]).filter(doc > F.col("owner")).select(doc.alias("doc_id"), "_row", "start", "length")
+    spans = space.table(pack_spans(copies), "spans")
+    return docs.join(spans, (F.coalesce(docs["doc_id"], last) == F.col("_of")) & (docs["_row"] == F.col("_at")), "left").drop("_of", "_at", "_row")
 
 
 def drop_copies(docs: DataFrame, least: int = LEAST) -> DataFrame:

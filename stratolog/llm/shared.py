@@ -110,5 +110,20 @@ def split_words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def keyed(docs: DataFrame, space: Workspace) -> DataFrame:
+    """docs with _row, which tells apart the rows whose doc_id is null or repeated; it is 0 for all others.
+
+    Only those rows need a key that each reading finds again, so only they are written.
+    """
+    odd = space.table(docs.groupBy(F.col("doc_id").alias("_of")).count().filter("count > 1 or _of is null"), "repeated")
+    if odd.isEmpty():
+        return docs.withColumn("_row", F.lit(0).cast("long"))
+    more = odd.filter("_of is not null")
+    theirs = docs.filter("doc_id is null").unionAll(docs.join(more, F.col("doc_id") == F.col("_of"), "left_semi"))
+    theirs = space.table(theirs.withColumn("_row", F.monotonically_increasing_id() + 1), "odd-rows")
+    own = docs.filter("doc_id is not null").join(more, F.col("doc_id") == F.col("_of"), "left_anti")
+    return own.withColumn("_row", F.lit(0).cast("long")).unionAll(theirs)
+
+
 def held_out(doc_id: str = "doc_id", modulus: int = 10, remainder: int = 0):
     return F.crc32(F.col(doc_id).cast("string")) % modulus == remainder

@@ -29,8 +29,8 @@ def cut(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
 
 
 def pack_spans(spans: DataFrame) -> DataFrame:
-    """(doc_id, start, length) rows as (doc_id, spans): one array per document."""
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
+    """(doc_id, _row, start, length) rows as (_of, _at, spans): one array per row of the input."""
+    return spans.groupBy(F.col("doc_id").alias("_of"), F.col("_row").alias("_at")).agg(F.collect_list(F.struct("start", "length")).alias("spans"))
 
 
 def span_arrays(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:

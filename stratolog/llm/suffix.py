@@ -10,7 +10,7 @@ that keep a range small. A batch of documents settles what it can among its own
 entries per hash, so a passage that is everywhere reaches its range once per batch, and no two entries are
 compared: each step takes the smallest doc_id per hash.
 
-Null text is empty. Rows with one doc_id are one document; null doc_ids come last and don't match each
+Null text is empty. Rows with one doc_id are one document, but each loses only what it holds itself; null doc_ids come last and don't match each
 other. Equal documents lose all but their first copy. Texts under 50 bytes neither lose nor give anything.
 Other columns are ignored, and kept by drop_matches.
 """
@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratolog.llm.shared import Workspace, set_aside, sliced, text_bytes
+from stratolog.llm.shared import Workspace, keyed, set_aside, sliced, text_bytes
 from stratolog.llm.shingles import mix, powers
 from stratolog.llm.spans import pack_spans, removal_report, removed_text, span_arrays
 
@@ -96,13 +96,13 @@ def anchors(data: np.ndarray, cuts: np.ndarray | tuple = (), length: int = LENGT
 
 
 def _each(batches):
-    """Steps of several texts joined by a gap, as (doc ids, texts) of bounded size."""
+    """Steps of several texts joined by a gap, as (batch, doc ids, row keys, texts) of bounded size."""
     unzip = zstandard.ZstdDecompressor().decompress
     for b in sliced(batches, "text", 1 << 20):
         texts = text_bytes(b["text"])
         if pa.types.is_binary(b["text"].type):
             texts = [unzip(t) if t else b"" for t in texts]
-        yield b, b["doc_id"].fill_null(_LAST).to_numpy(), texts
+        yield b, b["doc_id"].fill_null(_LAST).to_numpy(), b["_row"].to_numpy(), texts
 
 
 def _zipped(docs: DataFrame) -> DataFrame:
@@ -111,9 +111,9 @@ def _zipped(docs: DataFrame) -> DataFrame:
     def run(batches):
         zip_ = zstandard.ZstdCompressor(level=1).compress
         for b in sliced(batches, "text"):
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([zip_(t) if t else None for t in text_bytes(b["text"])], pa.binary())], ["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["_row"], pa.array([zip_(t) if t else None for t in text_bytes(b["text"])], pa.binary())], ["doc_id", "_row", "text"])
 
-    return docs.mapInArrow(run, "doc_id long, text binary")
+    return docs.mapInArrow(run, "doc_id long, _row long, text binary")
 
 
 def _context(data: np.ndarray, p, lo, hi, prefix) -> np.ndarray:
@@ -157,8 +157,8 @@ def _restored(raw: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-_ROW = "range int, hash binary, doc binary, start binary, length binary"
-_FOUND = "doc_id long, start int, length int, whole boolean"
+_ROW = "range int, hash binary, doc binary, row binary, start binary, length binary"
+_FOUND = "doc_id long, _row long, start int, length int, whole boolean"
 #: Bytes of text whose entries a task settles among themselves before it deals them out.
 SETTLED = 8 << 20
 #: Bytes of text per range of hashes: bounds what one task gathers.
@@ -166,14 +166,15 @@ PER_RANGE = 16 << 20
 _KNOWN = np.uint32(0xFFFFFFFF)
 
 
-def _rows(ranges, h, d, start, length):
-    """Packed rows, one for each range."""
+def _rows(ranges, h, d, r, start, length):
+    """Packed rows, one for each range; row keys that are all 0 take no room."""
     order = np.argsort(ranges.astype(np.int16) if len(ranges) and max(abs(int(ranges.min())), int(ranges.max())) < 1 << 15 else ranges, kind="stable")
-    ranges, h, d, start, length = (x[order] for x in (ranges, h, d, start, length))
+    ranges, h, d, r, start, length = (x[order] for x in (ranges, h, d, r, start, length))
     cuts = np.flatnonzero(np.concatenate(([True], ranges[1:] != ranges[:-1]))) if len(ranges) else np.zeros(0, np.int64)
     ends = np.append(cuts[1:], len(ranges))
     packed = [[_transposed(x[lo:hi]) for lo, hi in zip(cuts.tolist(), ends.tolist())] for x in (h, d.astype(np.int64), start.astype(np.uint32), length.astype(np.uint16))]
-    return pa.RecordBatch.from_arrays([pa.array(ranges[cuts].astype(np.int32)), *[pa.array(x, pa.binary()) for x in packed]], ["range", "hash", "doc", "start", "length"])
+    packed.insert(2, [_transposed(r[lo:hi]) if r[lo:hi].any() else b"" for lo, hi in zip(cuts.tolist(), ends.tolist())])
+    return pa.RecordBatch.from_arrays([pa.array(ranges[cuts].astype(np.int32)), *[pa.array(x, pa.binary()) for x in packed]], ["range", "hash", "doc", "row", "start", "length"])
 
 
 def _by_hash(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,7 +191,7 @@ def _by_hash(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _dealt(docs: DataFrame, ranges: int, entries, only_shared: bool) -> DataFrame:
-    """(doc_id, start, length, whole) from the entries (hash, start, length) of each text.
+    """(doc_id, _row, start, length, whole) from the entries (hash, start, length) of each text.
 
     only_shared: all entries whose hash two documents have. Otherwise entries that a smaller document has
     are whole, and the others, unless entries.whole_only is set, not whole.
@@ -198,7 +199,7 @@ def _dealt(docs: DataFrame, ranges: int, entries, only_shared: bool) -> DataFram
     whole_only = getattr(entries, "whole_only", False)
 
     def settle(held):
-        h, d, s, n = (np.concatenate(c) for c in zip(*held))
+        h, d, r, s, n = (np.concatenate(c) for c in zip(*held))
         low, high, first = _by_hash(h, d)
         # anchors have small hashes: their range is that of another hash
         at = ((mix(h) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
@@ -209,23 +210,23 @@ def _dealt(docs: DataFrame, ranges: int, entries, only_shared: bool) -> DataFram
             at_k, h_k, d_k, n_k = at[known], h[known], d[known], n[known]
             send = ~done
             at_s, h_s = np.concatenate((at[send], at_k)), np.concatenate((h[send], h_k))
-            out = (at_s, h_s.astype(np.uint32), np.concatenate((d[send], d_k)), np.concatenate((s[send].astype(np.uint32), np.full(len(h_k), _KNOWN))), np.concatenate((n[send], n_k)))
+            out = (at_s, h_s.astype(np.uint32), np.concatenate((d[send], d_k)), np.concatenate((r[send], np.zeros(len(d_k), np.int64))), np.concatenate((s[send].astype(np.uint32), np.full(len(h_k), _KNOWN))), np.concatenate((n[send], n_k)))
         else:
             send = ~done
-            out = (at[send], h[send], d[send], s[send].astype(np.uint32), n[send])
+            out = (at[send], h[send], d[send], r[send], s[send].astype(np.uint32), n[send])
         yield _rows(*out)
         if done.any():
             # ranges below 0 hold what is settled already
-            yield _rows(-1 - (d[done] % max(ranges, 1)), (h[done].astype(np.uint32) if only_shared else h[done]), d[done], s[done].astype(np.uint32), n[done])
+            yield _rows(-1 - ((d[done] ^ r[done]) % max(ranges, 1)), (h[done].astype(np.uint32) if only_shared else h[done]), d[done], r[done], s[done].astype(np.uint32), n[done])
 
     def run(batches):
         held, size = [], 0
-        for b, ids, texts in _each(batches):
+        for b, ids, keys, texts in _each(batches):
             spans = span_arrays(b["spans"]) if "spans" in b.schema.names else [None] * len(texts)
             size += sum(map(len, texts))
             for k, h, s, n in entries(texts, spans):
                 if len(h):
-                    held.append((h, ids[k], s, n))
+                    held.append((h, ids[k], keys[k], s, n))
             if size >= SETTLED and held:
                 yield from settle(held)
                 held, size = [], 0
@@ -237,6 +238,7 @@ def _dealt(docs: DataFrame, ranges: int, entries, only_shared: bool) -> DataFram
     def meet(table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
         h, d, s, n = (np.concatenate([_restored(x, k) for x in t[c].to_pylist()]) for c, k in (("hash", kind), ("doc", np.int64), ("start", np.uint32), ("length", np.uint16)))
+        r = np.concatenate([_restored(x, np.int64) if x else np.zeros(len(y) // 8, np.int64) for x, y in zip(t["row"].to_pylist(), t["doc"].to_pylist())])
         if t["range"][0].as_py() < 0:
             keep = np.ones(len(h), bool)
             whole = np.full(len(h), not only_shared)
@@ -249,7 +251,7 @@ def _dealt(docs: DataFrame, ranges: int, entries, only_shared: bool) -> DataFram
             else:
                 whole = d > low
                 keep = whole if whole_only else np.ones(len(h), bool)
-        return pa.table({"doc_id": pa.array(d[keep]), "start": pa.array(s[keep].astype(np.int32)), "length": pa.array(n[keep].astype(np.int32)), "whole": pa.array(whole[keep])})
+        return pa.table({"doc_id": pa.array(d[keep]), "_row": pa.array(r[keep]), "start": pa.array(s[keep].astype(np.int32)), "length": pa.array(n[keep].astype(np.int32)), "whole": pa.array(whole[keep])})
 
     return docs.mapInArrow(run, _ROW).groupBy("range").applyInArrow(meet, _FOUND)
 
@@ -327,25 +329,26 @@ def mark_matches(docs: DataFrame) -> DataFrame:
     """docs with spans: every byte of a 50-byte string that also starts in a smaller document."""
     spark = docs.sparkSession
     space = Workspace(spark)
-    own = docs.select("doc_id", "text")
+    docs = keyed(docs, space)
+    own = docs.select("doc_id", "_row", "text")
     total = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     ranges = max(1, min(1 << 30, -(-total // PER_RANGE)))
 
     def with_spans(spans: DataFrame) -> DataFrame:
-        packed = space.table(pack_spans(spans).withColumnRenamed("doc_id", "_of"), "spans")
+        packed = space.table(pack_spans(spans), "spans")
         _release(spark)
         texts = _zipped(own)
-        return texts.join(packed, F.coalesce(texts["doc_id"], F.lit(_LAST)) == packed["_of"]).select("doc_id", "text", "spans")
+        return texts.join(packed, (F.coalesce(texts["doc_id"], F.lit(_LAST)) == packed["_of"]) & (texts["_row"] == packed["_at"])).select("doc_id", "_row", "text", "spans")
 
     shared = _dealt(own, ranges, _all_anchors, True)
-    told = space.table(_dealt(with_spans(shared.select("doc_id", "start", "length")), ranges, _contexts, False), "told")
+    told = space.table(_dealt(with_spans(shared.select("doc_id", "_row", "start", "length")), ranges, _contexts, False), "told")
     _release(spark)
-    whole = told.filter("whole").select("doc_id", "start", (F.col("length") + LENGTH - 1).alias("length"))
-    edges = told.filter("not whole").select("doc_id", "start", "length")
-    part = _dealt(with_spans(edges), ranges, _windows, False).select("doc_id", "start", "length")
-    spans = space.table(pack_spans(whole.union(part)).withColumnRenamed("doc_id", "_of"), "spans")
+    whole = told.filter("whole").select("doc_id", "_row", "start", (F.col("length") + LENGTH - 1).alias("length"))
+    edges = told.filter("not whole").select("doc_id", "_row", "start", "length")
+    part = _dealt(with_spans(edges), ranges, _windows, False).select("doc_id", "_row", "start", "length")
+    spans = space.table(pack_spans(whole.union(part)), "spans")
     _release(spark)
-    return docs.join(spans, F.coalesce(docs["doc_id"], F.lit(_LAST)) == spans["_of"], "left").drop("_of")
+    return docs.join(spans, (F.coalesce(docs["doc_id"], F.lit(_LAST)) == spans["_of"]) & (docs["_row"] == spans["_at"]), "left").drop("_of", "_at", "_row")
 
 
 def drop_matches(docs: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from stratolog.llm import chunks, near, sketch, suffix, vectors
 from stratolog.llm.components import components
 from stratolog.llm.shared import Workspace
 from stratolog.llm.shingles import shingle_sets, word_hashes
-from stratolog.llm.spans import cut, merge_spans
+from stratolog.llm.spans import cut, merge_spans, removal_report
 
 
 def find(parent, x):
@@ -228,3 +228,36 @@ def test_vectors_by_brute_force(spark):
     assert all(got[5000 + i].n_links == 0 and got[5000 + i].kept for i in range(len(bad)))
     assert got[None].component_id is None and got[900].component_id == 0 and not got[900].kept
     assert vectors.link_vectors(df.limit(0)).count() == 0 and vectors.link_vectors(df.filter(F.col("vec_id") >= 5000).filter("vec_id < 5006")).count() == 6
+
+
+# rows with null or repeated ids
+@pytest.fixture(scope="module")
+def rows_alike():
+    rnd = random.Random(8)
+    make = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passages = [make(300) for _ in range(6)]
+    rows = [(k, make(100) + p + make(80)) for k, p in enumerate(passages)]
+    rows += [(50, make(40 * k) + passages[k] + make(700)) for k in range(3)] + [(50, make(900))]
+    return rows + [(None, make(30 * k) + passages[k] + make(700)) for k in range(6)] + [(None, make(900)), (None, None), (50, rows[6][1])]
+
+
+@pytest.mark.parametrize("mark", [suffix.mark_matches, chunks.mark_copies])
+def test_rows_of_null_or_repeated_ids_lose_only_their_own(spark, rows_alike, mark):
+    last = 1 << 62
+    got = removal_report(mark(spark.createDataFrame(rows_alike, "doc_id long, text string").repartition(3))).collect()
+    assert len(got) == len(rows_alike)
+    got = sorted((last if r.doc_id is None else r.doc_id, *r[1:]) for r in got)
+    want = brute_long([(last if d is None else d, t) for d, t in rows_alike])
+    if mark is suffix.mark_matches:
+        assert got == want
+    else:  # chunks lie in the long matches
+        assert all(a[:2] == b[:2] for a, b in zip(sorted(x[:2] for x in got), sorted(x[:2] for x in want)))
+        assert all(x[2] <= 350 for x in got) and all(x[2] == 0 for x in got if x[1] == 900) and sum(x[2] > 0 for x in got) >= 9
+
+
+def test_null_ids_are_cut_apart(spark, rows_alike):
+    df = spark.createDataFrame(rows_alike, "doc_id long, text string").repartition(3)
+    for drop in (suffix.drop_matches, chunks.drop_copies):
+        left = [r.text for r in drop(df).collect()]
+        assert len(left) == len(rows_alike)
+        assert all(t in left for d, t in rows_alike if t is None or len(t) == 900)

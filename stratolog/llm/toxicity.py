@@ -90,9 +90,13 @@ def _target(state, s):
 
 
 def _threat(state, s):
-    """A threat without a target is none."""
+    """A threat without a target in its clause is none; one that waits for its target comes out there."""
+    if s.name == "end":
+        return 0, s
     if s.name == "threat" and "directed" not in s.marks:
-        s = Symbol("other")
+        return 1, Symbol("other")
+    if state and s.name == "target":
+        return 0, Symbol("threat", frozenset({"directed"}))
     return state, s
 
 
@@ -157,6 +161,9 @@ class Grammar:
                 w = self.weight(t)
                 symbol = self.insult if w else self.other
             state, out = self.automaton.step(state, symbol)
+            # a target directs what stands before it in the clause too
+            if symbol.name == "target" and "plain" in best:
+                best["directed"] = max(best.get("directed", 0.0), best.pop("plain"))
             if out.name in ("insult", "threat"):
                 k = kind_of(out)
                 best[k] = max(best.get(k, 0.0), w or 1.0)
@@ -283,6 +290,9 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn, sample: int = SAMPLE) -
 
     got = taught.select("text", "toxic").mapInArrow(features, "toxic int, " + ", ".join(f"{k} double" for k in KINDS)).toPandas()
     bias, weights = _fit(got[list(KINDS)].to_numpy(float), (got["toxic"] > 0).to_numpy(float))
+    if not got["threat"].any():
+        # a sample without threats teaches nothing of them: one is as likely toxic as not, as without labels
+        weights[KINDS.index("threat")] = max(weights[KINDS.index("threat")], -bias)
     return ToxicityModel(insults, bias, weights)
 
 

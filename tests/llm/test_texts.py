@@ -97,6 +97,16 @@ def test_grammar_tells_clauses_apart():
     assert a.step(s, toxicity.Symbol("insult"))[1].marks == {"negated"}
 
 
+def test_targets_direct_from_either_side():
+    g = toxicity.Grammar({"moron": 2.0})
+    of = lambda t: dict(zip(toxicity.KINDS, g.features(t)))
+    for t in ("I will kill you", "hurt them", "you, I will kill", "We shall destroy all of you!"):
+        assert of(t)["threat"] == 1.0 and toxicity.UNTAUGHT.score(g.features(t)) >= toxicity.THRESHOLD
+    for t in ("kill the process", "Kill the process. You saw it.", "You saw it: kill the process"):
+        assert sum(g.features(t)) == 0
+    assert of("moron, that is what you are")["directed"] == 2.0 and of("a moron came. You saw it")["plain"] == 2.0
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -107,6 +117,12 @@ def test_toxicity_on_held_out_rows(spark):
     assert hit >= 0.85 * sum(r.toxic for r in held) and hit >= 0.8 * sum(r.predicted for r in held)
 
 
+def test_threats_count_where_the_sample_has_none(spark):
+    model = toxicity.model_for(spark, "/root/testdata/sf0.01")
+    score = lambda t: model.score(toxicity.Grammar(model.insults).features(t))
+    assert score("I will kill you") >= toxicity.THRESHOLD > score("kill the process") == score("")
+
+
 def test_toxicity_of_odd_rows(spark, odd, empty, odd_rows):
     labels = spark.createDataFrame([(4, 1), (4, 0), (5, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.learn(odd, labels, F.lit(True))

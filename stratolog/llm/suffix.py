@@ -1,24 +1,26 @@
-"""Long repeated substrings across documents, exactly: what a smaller doc_id has at length 50 goes.
-
-Matches are found by anchors. Of the K-byte strings in any 50 bytes the one with the smallest hash is an
-anchor; equal 50-byte strings so have equal anchors. Anchors of two documents or more are kept, with the
-context that their 50-byte windows span. A context that a smaller document has too is a match as a
-whole; only the other contexts, at the edges of passages and of edits, are resolved window by window.
-
-Each of the three steps deals hashes out by range, as packed arrays of a few bytes per entry, in numbers
-that keep a range small. A batch of documents settles what it can among its own and sends one document's
-entries per hash, so a passage that is everywhere reaches its range once per batch, and no two entries are
-compared: each step takes the smallest doc_id per hash.
-
-Null text is empty. Rows with one doc_id are one document, but each loses only what it holds itself; null doc_ids come last and don't match each
-other. Equal documents lose all but their first copy. Texts under 50 bytes neither lose nor give anything.
-Other columns are ignored, and kept by drop_matches.
+"""Long repeated substrings across documents: what a smaller doc_id has at length 50 goes.
+
+Matches are found by run-length Burrows-Wheeler indexes (runindex.py), one for each small range of the
+strings that can match. To deal a corpus out to them, of the K-byte strings in any 50 bytes the one with
+the smallest hash is an anchor; equal 50-byte strings so have equal anchors. Anchors that two documents
+have are kept, with the context that their 50-byte windows span. Contexts are dealt out by the hash of their
+anchor, as bytes. Equal contexts are folded to one with the smallest doc_id, in each batch before they are
+dealt out and again in their range: a copy of a smaller document's context is a match whole. The others
+are indexed and streamed against the index, and windows whose match with a smaller document reaches 50
+bytes go. Hashes only choose where strings meet; matches are of bytes.
+
+A passage that is everywhere reaches its range once per batch. An anchor that very many places have is
+dealt out by its windows instead, each by its own hash, so that no range gathers all of them.
+
+Null text is empty. Rows with one doc_id are one document, but each loses only what it holds itself; null
+doc_ids come last and don't match each other. Equal documents lose all but their first copy. Texts under 50
+bytes neither lose nor give anything; a text of any length is read whole, in parts that overlap by a window.
+An empty table gives an empty one. Other columns are ignored, and kept by drop_matches.
 """
 
 from __future__ import annotations
 
-import gc
-import time
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +28,24 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratolog.llm.runindex import RunIndex
 from stratolog.llm.shared import Workspace, keyed, set_aside, sliced, text_bytes
-from stratolog.llm.shingles import mix, powers
+from stratolog.llm.shingles import mix
 from stratolog.llm.spans import pack_spans, removal_report, removed_text, span_arrays
 
 LENGTH, K = 50, 24
+#: Bytes of a text whose hashes are held at once; the parts of a longer text overlap by a window.
+PART = 1 << 20
+#: Bytes of short texts that are joined, as one call for each text costs more than its bytes.
+JOINED = 1 << 18
+#: Bytes of text whose entries a task settles among themselves before it deals them out.
+SETTLED = 8 << 20
+#: Bytes of text per range of hashes: bounds what one task gathers.
+PER_RANGE = 16 << 20
+#: Bytes of strings per index.
+SHARD = 1 << 18
+#: Anchors with more places are dealt out by windows; at most MOST_HOT of them, the most frequent, are told to all tasks.
+HOT, MOST_HOT = 1 << 13, 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _LAST = (1 << 63) - 1
 
@@ -116,23 +131,6 @@ def _zipped(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, _row long, text binary")
 
 
-def _context(data: np.ndarray, p, lo, hi, prefix) -> np.ndarray:
-    """Hash of the bytes of windows lo to hi and of where the anchor is in them."""
-    total, down = prefix
-    end = hi + LENGTH
-    body = (total[end] - total[lo]) * down[lo]
-    return mix(mix(body + np.uint64(0x51ED270B) * (end - lo).astype(np.uint64)) + (p - lo).astype(np.uint64))
-
-
-def _prefix(data: np.ndarray):
-    up, down = powers(len(data) + 1)
-    return np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)]))), down
-
-
-#: Bytes of a text whose hashes are held at once; the parts of a longer text overlap by a window.
-PART = 1 << 20
-
-
 def _parts(raw: bytes):
     """(offset, bytes) of overlapping parts such that each 50-byte window with its anchor range is in one."""
     step = PART
@@ -156,108 +154,95 @@ def _restored(raw: bytes, kind) -> np.ndarray:
     size = np.dtype(kind).itemsize
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
-
-_ROW = "range int, hash binary, doc binary, row binary, start binary, length binary"
-_FOUND = "doc_id long, _row long, start int, length int, whole boolean"
-#: Bytes of text whose entries a task settles among themselves before it deals them out.
-SETTLED = 8 << 20
-#: Bytes of text per range of hashes: bounds what one task gathers.
-PER_RANGE = 16 << 20
+_ROW = "range int, hash binary, doc binary, row binary, start binary, length binary, text binary"
+_FOUND = "doc_id long, _row long, start int, length int"
 _KNOWN = np.uint32(0xFFFFFFFF)
 
 
-def _rows(ranges, h, d, r, start, length):
+def _range_of(h: np.ndarray, ranges: int) -> np.ndarray:
+    # anchors have small hashes: their range is that of another hash
+    return ((mix(h) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+
+def _flat(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, bytes) of a binary array."""
+    _, offsets, data = strings.buffers()
+    at = np.frombuffer(offsets, np.int32)[strings.offset : strings.offset + len(strings) + 1]
+    return at, np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+
+
+def _strings(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Array:
+    """The pieces of data as a binary array."""
+    at = np.concatenate((np.zeros(1, np.int32), np.cumsum(length, dtype=np.int32)))
+    index = np.repeat(start - at[:-1], length) + np.arange(at[-1])
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(at), pa.py_buffer(data[index])])
+
+
+def _rows(ranges, h, d, r, start, length, strings: pa.Array | None = None) -> pa.RecordBatch:
     """Packed rows, one for each range; row keys that are all 0 take no room."""
     order = np.argsort(ranges.astype(np.int16) if len(ranges) and max(abs(int(ranges.min())), int(ranges.max())) < 1 << 15 else ranges, kind="stable")
     ranges, h, d, r, start, length = (x[order] for x in (ranges, h, d, r, start, length))
     cuts = np.flatnonzero(np.concatenate(([True], ranges[1:] != ranges[:-1]))) if len(ranges) else np.zeros(0, np.int64)
-    ends = np.append(cuts[1:], len(ranges))
-    packed = [[_transposed(x[lo:hi]) for lo, hi in zip(cuts.tolist(), ends.tolist())] for x in (h, d.astype(np.int64), start.astype(np.uint32), length.astype(np.uint16))]
-    packed.insert(2, [_transposed(r[lo:hi]) if r[lo:hi].any() else b"" for lo, hi in zip(cuts.tolist(), ends.tolist())])
-    return pa.RecordBatch.from_arrays([pa.array(ranges[cuts].astype(np.int32)), *[pa.array(x, pa.binary()) for x in packed]], ["range", "hash", "doc", "row", "start", "length"])
+    bounds = list(zip(cuts.tolist(), np.append(cuts[1:], len(ranges)).tolist()))
+    packed = [[_transposed(x[lo:hi]) for lo, hi in bounds] for x in (h.astype(np.uint32), d.astype(np.int64), start.astype(np.uint32), length.astype(np.uint32))]
+    packed.insert(2, [_transposed(r[lo:hi]) if r[lo:hi].any() else b"" for lo, hi in bounds])
+    texts: list = [None] * len(bounds)
+    if strings is not None:
+        zip_ = zstandard.ZstdCompressor(level=1).compress
+        at, data = _flat(strings.take(pa.array(order)))
+        texts = [zip_(data[at[lo] : at[hi]].tobytes()) for lo, hi in bounds]
+    return pa.RecordBatch.from_arrays([pa.array(ranges[cuts].astype(np.int32)), *[pa.array(x, pa.binary()) for x in (*packed, texts)]], ["range", "hash", "doc", "row", "start", "length", "text"])
 
 
-def _by_hash(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(smallest doc, largest doc, whether first of its hash) of each entry's hash."""
-    low, high, first = np.empty(len(h), np.int64), np.empty(len(h), np.int64), np.zeros(len(h), bool)
-    if len(h):
-        order = np.argsort(h)
-        hs, ds = h[order], d[order]
-        new = np.concatenate(([True], hs[1:] != hs[:-1]))
-        cuts, group = np.flatnonzero(new), np.cumsum(new) - 1
-        low[order], high[order] = np.minimum.reduceat(ds, cuts)[group], np.maximum.reduceat(ds, cuts)[group]
-        first[order[cuts]] = True
-    return low, high, first
+def _unpacked(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, ...]:
+    """hash, doc, row key, start and length of the entries of row k."""
+    h, d, s, n = (_restored(batch[c][k].as_py(), kind) for c, kind in (("hash", np.uint32), ("doc", np.int64), ("start", np.uint32), ("length", np.uint32)))
+    r = batch["row"][k].as_py()
+    return h, d, _restored(r, np.int64) if r else np.zeros(len(d), np.int64), s, n
 
 
-def _dealt(docs: DataFrame, ranges: int, entries, only_shared: bool) -> DataFrame:
-    """(doc_id, _row, start, length, whole) from the entries (hash, start, length) of each text.
+def _spans(d, r, start, length, step: int = 100_000):
+    """Rows of _FOUND in batches."""
+    for lo in range(0, len(d), step):
+        own = slice(lo, lo + step)
+        yield pa.RecordBatch.from_arrays([pa.array(d[own]), pa.array(r[own]), pa.array(start[own].astype(np.int32)), pa.array(length[own].astype(np.int32))], ["doc_id", "_row", "start", "length"])
 
-    only_shared: all entries whose hash two documents have. Otherwise entries that a smaller document has
-    are whole, and the others, unless entries.whole_only is set, not whole.
-    """
-    whole_only = getattr(entries, "whole_only", False)
-
-    def settle(held):
-        h, d, r, s, n = (np.concatenate(c) for c in zip(*held))
-        low, high, first = _by_hash(h, d)
-        # anchors have small hashes: their range is that of another hash
-        at = ((mix(h) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-        done = low < high if only_shared else d > low
-        if only_shared:
-            # what the batch knows to be shared is sent once, so that other batches learn of it
-            known = done & first
-            at_k, h_k, d_k, n_k = at[known], h[known], d[known], n[known]
-            send = ~done
-            at_s, h_s = np.concatenate((at[send], at_k)), np.concatenate((h[send], h_k))
-            out = (at_s, h_s.astype(np.uint32), np.concatenate((d[send], d_k)), np.concatenate((r[send], np.zeros(len(d_k), np.int64))), np.concatenate((s[send].astype(np.uint32), np.full(len(h_k), _KNOWN))), np.concatenate((n[send], n_k)))
-        else:
-            send = ~done
-            out = (at[send], h[send], d[send], r[send], s[send].astype(np.uint32), n[send])
-        yield _rows(*out)
-        if done.any():
-            # ranges below 0 hold what is settled already
-            yield _rows(-1 - ((d[done] ^ r[done]) % max(ranges, 1)), (h[done].astype(np.uint32) if only_shared else h[done]), d[done], r[done], s[done].astype(np.uint32), n[done])
-
-    def run(batches):
-        held, size = [], 0
-        for b, ids, keys, texts in _each(batches):
-            spans = span_arrays(b["spans"]) if "spans" in b.schema.names else [None] * len(texts)
-            size += sum(map(len, texts))
-            for k, h, s, n in entries(texts, spans):
-                if len(h):
-                    held.append((h, ids[k], keys[k], s, n))
-            if size >= SETTLED and held:
-                yield from settle(held)
-                held, size = [], 0
-        if held:
-            yield from settle(held)
 
-    kind = np.uint32 if only_shared else np.uint64
+def _settled(batch: pa.RecordBatch, k: int):
+    """The rows of entries that their batch settled, or none if row k has others."""
+    if batch["range"][k].as_py() < 0:
+        _, d, r, s, n = _unpacked(batch, k)
+        yield from _spans(d, r, s, n)
 
-    def meet(table: pa.Table) -> pa.Table:
-        t = table.combine_chunks()
-        h, d, s, n = (np.concatenate([_restored(x, k) for x in t[c].to_pylist()]) for c, k in (("hash", kind), ("doc", np.int64), ("start", np.uint32), ("length", np.uint16)))
-        r = np.concatenate([_restored(x, np.int64) if x else np.zeros(len(y) // 8, np.int64) for x, y in zip(t["row"].to_pylist(), t["doc"].to_pylist())])
-        if t["range"][0].as_py() < 0:
-            keep = np.ones(len(h), bool)
-            whole = np.full(len(h), not only_shared)
-        else:
-            low, high, _ = _by_hash(h, d)
-            if only_shared:
-                known = np.unique(h[s == _KNOWN])
-                keep = ((low < high) | np.isin(h, known)) & (s != _KNOWN)
-                whole = np.zeros(len(h), bool)
-            else:
-                whole = d > low
-                keep = whole if whole_only else np.ones(len(h), bool)
-        return pa.table({"doc_id": pa.array(d[keep]), "_row": pa.array(r[keep]), "start": pa.array(s[keep].astype(np.int32)), "length": pa.array(n[keep].astype(np.int32)), "whole": pa.array(whole[keep])})
 
-    return docs.mapInArrow(run, _ROW).groupBy("range").applyInArrow(meet, _FOUND)
+def _held(batches, entries):
+    """Entries of the texts of batches, in steps of SETTLED bytes; spans are passed on where there are any."""
+    held, size = [], 0
+    for b, ids, keys, texts in _each(batches):
+        spans = span_arrays(b["spans"]) if "spans" in b.schema.names else [None] * len(texts)
+        size += sum(map(len, texts))
+        for k, *values in entries(texts, spans):
+            if len(k):
+                held.append((ids[k], keys[k], *values))
+        if size >= SETTLED and held:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
-#: Bytes of short texts that are joined, as one call for each text costs more than its bytes.
-JOINED = 1 << 18
+def _by_hash(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each entry's hash the smallest and the largest doc, whether it is the first, and the entries."""
+    low, high, first, n = np.empty(len(h), np.int64), np.empty(len(h), np.int64), np.zeros(len(h), bool), np.zeros(len(h), np.int64)
+    if len(h):
+        order = np.argsort(h)
+        hs, ds = h[order], d[order]
+        new = np.concatenate(([True], hs[1:] != hs[:-1]))
+        cuts, group = np.flatnonzero(new), np.cumsum(new) - 1
+        low[order], high[order] = np.minimum.reduceat(ds, cuts)[group], np.maximum.reduceat(ds, cuts)[group]
+        n[order] = np.bincount(group)[group]
+        first[order[cuts]] = True
+    return low, high, first, n
 
 
 def _buffers(texts: list[bytes]):
@@ -280,74 +265,208 @@ def _buffers(texts: list[bytes]):
             size += len(raw)
 
 
-def _all_anchors(texts, _):
-    """Entries (text number, hash, position, 0) of all anchors."""
-    for data, which, start, at in _buffers(texts):
-        p, h, _, _ = anchors(data, start[1:])
-        own = np.searchsorted(start, p, "right") - 1
-        yield which[own], h, p - start[own] + at[own], np.zeros(len(p), np.int64)
+def shared_anchors(docs: DataFrame, ranges: int, hot: int = HOT) -> DataFrame:
+    """(doc_id, _row, start, length) of the anchors that two documents have; start is the anchor's place.
+
+    Rows with start -1 are anchors of more than hot places: doc_id tells which, length how many.
+    """
+
+    def entries(texts, _):
+        for data, which, start, at in _buffers(texts):
+            p, h, _, _ = anchors(data, start[1:])
+            own = np.searchsorted(start, p, "right") - 1
+            yield which[own], h, p - start[own] + at[own]
+
+    def run(batches):
+        for held in _held(batches, entries):
+            d, r, h, s = (np.concatenate(c) for c in zip(*held))
+            low, high, first, n = _by_hash(h, d)
+            at, done = _range_of(h, ranges), low < high
+            # what the batch knows to be shared is sent once, so that other batches learn of it
+            known, send = done & first, ~done
+            join = lambda x, y: np.concatenate((x[send], y))
+            yield _rows(join(at, at[known]), join(h, h[known]), join(d, d[known]), join(r, np.zeros(int(known.sum()), np.int64)), join(s, np.full(int(known.sum()), _KNOWN)), join(n, n[known]))
+            if done.any():
+                # ranges below 0 hold what is settled already
+                yield _rows(-1 - ((d[done] ^ r[done]) % max(ranges, 1)), h[done], d[done], r[done], s[done], n[done])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, place = [], 0
+        for b in batches:
+            for k in range(len(b)):
+                place = b["range"][k].as_py()
+                if place < 0:
+                    yield from _settled(b, k)
+                else:
+                    held.append(_unpacked(b, k))
+        if held:
+            h, d, r, s, n = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            low, high, first, _ = _by_hash(h, d)
+            known = s == _KNOWN
+            fine = ((low < high) | np.isin(h, h[known])) & ~known
+            yield from _spans(d[fine], r[fine], s[fine], n[fine])
+            # a batch's entries of one hash all tell how many they are
+            codes, at = np.unique(h, return_inverse=True)
+            places = np.bincount(at, np.where(known, n, 1))
+            many = places > hot
+            yield from _spans(codes[many].astype(np.int64) | np.int64(place) << 32, np.zeros(int(many.sum()), np.int64), np.full(int(many.sum()), -1), np.minimum(places[many], _MOST))
+
+    return docs.mapInArrow(run, _ROW).groupBy("range").applyInArrow(meet, _FOUND)
+
 
+_MOST = (1 << 31) - 1
 
-def _contexts(texts, spans):
-    """Entries of the anchors at the spans' starts: (text number, context hash, first window, windows)."""
-    for data, which, start, at in _buffers(texts):
-        p, _, lo, hi = anchors(data, start[1:])
-        own = np.searchsorted(start, p, "right") - 1
-        end = np.append(start[1:], len(data))
-        wanted = []
-        for k, s0, e0, a0 in zip(which.tolist(), start.tolist(), end.tolist(), at.tolist()):
-            w = spans[k][0] - a0
-            wanted.append(w[(w >= 0) & (w < e0 - s0)] + s0)
-        fine = np.isin(p, np.concatenate(wanted))
-        p, lo, hi, own = p[fine], lo[fine], hi[fine], own[fine]
-        yield which[own], _context(data, p, lo, hi, _prefix(data)), lo - start[own] + at[own], hi - lo + 1
 
+def hot_anchors(found: DataFrame, most: int = MOST_HOT) -> np.ndarray:
+    """The anchors that are dealt out by windows, sorted: at most so many, those of the most places."""
+    hot = found.filter("start < 0").select(F.col("doc_id").alias("anchor"), "length", F.log2("length").cast("int").alias("level"))
+    above, least = 0, 0
+    for x in sorted(hot.groupBy("level").count().collect(), reverse=True):  # 31 levels at most
+        above += x["count"]
+        if above > most:
+            least = x["level"] + 1
+            break
+    return np.sort(hot.filter(F.col("level") >= least).select("anchor").toPandas()["anchor"].to_numpy(np.int64))
 
-def _windows(texts, spans):
-    """Entries of the windows in the spans, whose starts and lengths count windows."""
-    for data, which, start, at in _buffers(texts):
-        h, end = window_hashes(data, LENGTH), np.append(start[1:], len(data))
-        for k, s0, e0, a0 in zip(which.tolist(), start.tolist(), end.tolist(), at.tolist()):
-            s, n = spans[k]
-            where = np.unique(np.repeat(s - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))) - a0
-            where = where[(where >= 0) & (where <= e0 - s0 - LENGTH)]
-            yield np.full(len(where), k), h[where + s0], where + a0, np.full(len(where), LENGTH)
 
+class _Fold:
+    """Distinct strings of one range, each with its key and smallest document, and their entries."""
 
-_windows.whole_only = True
+    def __init__(self):
+        self.new, self.size = [], 0
+        self.strings, self.key, self.doc = pa.array([], pa.binary()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.entries = [tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.int64, np.uint32))]
 
+    def add(self, strings: pa.Array, h, d, r, s) -> None:
+        self.new.append((strings, h, d, r, s))
+        self.size += len(_flat(strings)[1])
+        if self.size > 32 << 20:
+            self.settle()
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files whose results have been written: it does so as it finds their owners gone."""
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
+    def settle(self) -> None:
+        if not self.new:
+            return
+        strings, h, d, r, s = zip(*self.new)
+        coded = pa.concat_arrays([self.strings, *strings]).dictionary_encode()
+        code, n = coded.indices.to_numpy().astype(np.int64), len(self.strings)
+        key, doc = np.empty(len(coded.dictionary), np.uint32), np.full(len(coded.dictionary), _LAST)
+        key[code] = np.concatenate((self.key, *h))
+        np.minimum.at(doc, code, np.concatenate((self.doc, *d)))
+        self.strings, self.key, self.doc = coded.dictionary, key, doc
+        self.entries.append((code[n:], np.concatenate(d), np.concatenate(r), np.concatenate(s)))
+        self.new, self.size = [], 0
+
+    def spans(self, shard: int):
+        """(doc, row key, start, length) of the matches, in batches: of whole copies, then by each index."""
+        self.settle()
+        code, d, r, s = (np.concatenate(x) for x in zip(*self.entries))
+        self.entries = []
+        at, data = _flat(self.strings)
+        length = np.diff(at)
+        copies = d > self.doc[code]
+        yield d[copies], r[copies], s[copies], length[code[copies]]
+        code, d, r, s = (x[~copies] for x in (code, d, r, s))
+        order = np.argsort(code)
+        code, d, r, s = (x[order] for x in (code, d, r, s))
+        first = np.searchsorted(code, np.arange(len(length) + 1))
+        # a string that has its key alone has no other to match; indexes hold whole keys
+        by = np.argsort(self.key, kind="stable")
+        new = np.flatnonzero(np.concatenate(([True], self.key[by[1:]] != self.key[by[:-1]]))) if len(by) else by
+        size = np.diff(np.append(new, len(by)))
+        by, new = by[np.repeat(size > 1, size)], np.cumsum(np.append(0, size[size > 1]))[:-1]
+        total, lo = np.cumsum(length[by]), 0
+        for hi in np.append(new[1:], len(by)).tolist():
+            if hi < len(by) and total[hi - 1] - (total[lo - 1] if lo else 0) < shard:
+                continue
+            own = by[lo:hi]
+            own, lo = own[np.argsort(self.doc[own], kind="stable")], hi
+            if not len(own):
+                continue
+            string, offset = RunIndex(data[np.repeat(at[own], length[own]) + _counted(length[own])], length[own], self.doc[own]).matches(LENGTH)
+            if not len(string):
+                continue
+            # runs of matched windows, then those of each place of the string
+            cut = np.flatnonzero(np.concatenate(([True], (string[1:] != string[:-1]) | (offset[1:] != offset[:-1] + 1))))
+            n, which = np.diff(np.append(cut, len(string))), own[string[cut]]
+            places = first[which + 1] - first[which]
+            e = np.repeat(first[which], places) + _counted(places)
+            yield d[e], r[e], s[e] + np.repeat(offset[cut], places), np.repeat(n, places) + LENGTH - 1
+
+
+def _counted(n: np.ndarray) -> np.ndarray:
+    """0 to n - 1 for each n."""
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+
+def indexed_matches(docs: DataFrame, ranges: int, hot: np.ndarray, shard: int = SHARD) -> DataFrame:
+    """(doc_id, _row, start, length) of the matches at the anchors in spans; docs has compressed texts."""
+    told = docs.sparkSession.sparkContext.broadcast(hot)  # MOST_HOT numbers at most
+
+    def entries(texts, spans):
+        frequent = told.value
+        for data, which, start, at in _buffers(texts):
+            p, h, lo, hi = anchors(data, start[1:])
+            own, end = np.searchsorted(start, p, "right") - 1, np.append(start[1:], len(data))
+            wanted = []
+            for k, s0, e0, a0 in zip(which.tolist(), start.tolist(), end.tolist(), at.tolist()):
+                w = spans[k][0] - a0
+                wanted.append(w[(w >= 0) & (w < e0 - s0)] + s0)
+            fine = np.isin(p, np.concatenate(wanted))
+            h, lo, hi, own = h[fine], lo[fine], hi[fine], own[fine]
+            if len(frequent):
+                many = np.isin(_range_of(h, ranges) << 32 | (h & np.uint64(0xFFFFFFFF)).astype(np.int64), frequent)
+                if many.any():
+                    n = (hi - lo + 1)[many]
+                    one = np.repeat(lo[many], n) + _counted(n)
+                    h, own = np.concatenate((h[~many], window_hashes(data, LENGTH)[one])), np.concatenate((own[~many], np.repeat(own[many], n)))
+                    lo, hi = np.concatenate((lo[~many], one)), np.concatenate((hi[~many], one))
+            yield which[own], h, lo - start[own] + at[own], _strings(data, lo, hi - lo + LENGTH)
 
+    def run(batches):
+        for held in _held(batches, entries):
+            *columns, strings = zip(*held)
+            d, r, h, s = (np.concatenate(c) for c in columns)
+            strings = pa.concat_arrays(strings)
+            coded = strings.dictionary_encode()
+            code = coded.indices.to_numpy()
+            low = np.full(len(coded.dictionary), _LAST)
+            np.minimum.at(low, code, d)
+            n, done = np.diff(_flat(strings)[0]), d > low[code]
+            send = np.flatnonzero(~done)
+            yield _rows(_range_of(h[send], ranges), h[send], d[send], r[send], s[send], n[send], strings.take(pa.array(send)))
+            if done.any():
+                yield _rows(-1 - ((d[done] ^ r[done]) % max(ranges, 1)), h[done], d[done], r[done], s[done], n[done])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold, unzip = _Fold(), zstandard.ZstdDecompressor().decompress
+        for b in batches:
+            for k in range(len(b)):
+                if b["range"][k].as_py() < 0:
+                    yield from _settled(b, k)
+                else:
+                    h, d, r, s, n = _unpacked(b, k)
+                    ends = np.cumsum(n, dtype=np.int32)
+                    fold.add(pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.concatenate((np.zeros(1, np.int32), ends))), pa.py_buffer(unzip(b["text"][k].as_py()))]), h, d, r, s)
+        for found in fold.spans(shard):
+            yield from _spans(*found)
 
-def mark_matches(docs: DataFrame) -> DataFrame:
+    return docs.mapInArrow(run, _ROW).groupBy("range").applyInArrow(meet, _FOUND)
+
+
+def mark_matches(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """docs with spans: every byte of a 50-byte string that also starts in a smaller document."""
-    spark = docs.sparkSession
-    space = Workspace(spark)
+    space = Workspace(docs.sparkSession)
     docs = keyed(docs, space)
     own = docs.select("doc_id", "_row", "text")
     total = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     ranges = max(1, min(1 << 30, -(-total // PER_RANGE)))
-
-    def with_spans(spans: DataFrame) -> DataFrame:
-        packed = space.table(pack_spans(spans), "spans")
-        _release(spark)
-        texts = _zipped(own)
-        return texts.join(packed, (F.coalesce(texts["doc_id"], F.lit(_LAST)) == packed["_of"]) & (texts["_row"] == packed["_at"])).select("doc_id", "_row", "text", "spans")
-
-    shared = _dealt(own, ranges, _all_anchors, True)
-    told = space.table(_dealt(with_spans(shared.select("doc_id", "_row", "start", "length")), ranges, _contexts, False), "told")
-    _release(spark)
-    whole = told.filter("whole").select("doc_id", "_row", "start", (F.col("length") + LENGTH - 1).alias("length"))
-    edges = told.filter("not whole").select("doc_id", "_row", "start", "length")
-    part = _dealt(with_spans(edges), ranges, _windows, False).select("doc_id", "_row", "start", "length")
-    spans = space.table(pack_spans(whole.union(part)), "spans")
-    _release(spark)
+    found = space.table(shared_anchors(own, ranges, hot), "anchors")
+    packed = space.table(pack_spans(found.filter("start >= 0")), "packed")
+    texts = _zipped(own)
+    here = (F.coalesce(texts["doc_id"], F.lit(_LAST)) == packed["_of"]) & (texts["_row"] == packed["_at"])
+    matches = indexed_matches(texts.join(packed, here).select("doc_id", "_row", "text", "spans"), ranges, hot_anchors(found))
+    spans = space.table(pack_spans(matches), "spans")
     return docs.join(spans, (F.coalesce(docs["doc_id"], F.lit(_LAST)) == spans["_of"]) & (docs["_row"] == spans["_at"]), "left").drop("_of", "_at", "_row")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stratolog.llm import chunks, near, sketch, suffix, vectors
 from stratolog.llm.components import components
+from stratolog.llm.runindex import RunIndex
 from stratolog.llm.shared import Workspace
 from stratolog.llm.shingles import shingle_sets, word_hashes
 from stratolog.llm.spans import cut, merge_spans, removal_report
@@ -144,6 +145,39 @@ def test_long_matches_by_brute_force(spark, sf, texts):
     assert sorted(map(tuple, suffix.query(spark, sf).collect())) == brute_long(texts)
 
 
+def test_run_index_by_brute_force():
+    rnd = random.Random(0)
+    for trial in range(120):
+        alphabet = (b"ab", b"abcd\x00", bytes(range(256)))[trial % 3]
+        strings = [bytes(rnd.choice(alphabet) for _ in range(rnd.randrange(1, 25))) for _ in range(rnd.randrange(1, 14))]
+        if trial % 4 == 0:  # repetitive
+            strings = [(strings[0] * 3)[rnd.randrange(5) :][: rnd.randrange(1, 25)] or b"x" for _ in strings]
+        docs, least = sorted(rnd.randrange(6) for _ in strings), rnd.randrange(1, 8)
+        a, b = RunIndex(np.frombuffer(b"".join(strings), np.uint8), np.array(list(map(len, strings))), np.array(docs)).matches(least)
+        want = [(j, i) for j, s in enumerate(strings) for i in range(len(s) - least + 1) if any(e < docs[j] and s[i : i + least] in t for t, e in zip(strings, docs))]
+        assert list(zip(a.tolist(), b.tolist())) == want
+
+
+def test_run_index_of_every_byte_value():
+    one = bytes(range(256))
+    a, b = RunIndex(np.frombuffer(one + one[100:200], np.uint8), np.array([256, 100]), np.array([1, 2])).matches(50)
+    assert a.tolist() == [1] * 51 and b.tolist() == list(range(51))
+
+
+@pytest.mark.parametrize("hot", [0, 3, 1 << 13])
+def test_frequent_anchors_and_many_ranges(spark, texts, hot, monkeypatch):
+    """Dealing anchors out by windows, over many ranges, changes nothing."""
+    monkeypatch.setattr(suffix, "PER_RANGE", 1 << 14)
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    assert sorted(map(tuple, removal_report(suffix.mark_matches(df, hot)).collect())) == brute_long(texts)
+
+
+def test_hot_anchors_are_bounded(spark):
+    rows = [(k, 0, -1, 1 << k % 7) for k in range(70)] + [(5, 0, 9, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, _row long, start int, length int")
+    assert suffix.hot_anchors(df, 25).tolist() == [k for k in range(70) if k % 7 > 4] and len(suffix.hot_anchors(df)) == 70
+
+
 def test_long_matches_of_odd_and_uniform_rows(spark, odd, odd_rows, empty):
     rnd = random.Random(2)
     rows = [(r[0], r[1]) for r in odd_rows if r[0] is not None and r[0] != 9]

@@ -5,11 +5,11 @@ symbol of the suffixes changes as well; the suffix array goes once the ends of t
 A run's samples are the rows from whose side no smaller document lies nearer to that end: going up, the
 last row of a document below d is one of them, and going down the first one, whatever d is.
 
-A string is read from its end, one step back per symbol. Of the suffix read so far the nearest rows above
-and below of a smaller document are known; of the two one has the longest match. A row that is preceded by
-the same symbol steps along; otherwise the nearest run of that symbol with a smaller document gives its
-sample, and the match is measured in the text. So the lengths are those of the longest match with smaller
-documents, exactly, and strings are compared byte by byte, never by a hash.
+A string is read backwards, from the last place where a match of the wanted length can start; its row there
+and the nearest rows of smaller documents above and below are sampled too. Of the two one has the longest
+match. One step back, a row that is preceded by the same symbol steps along; otherwise the nearest run of
+that symbol with a smaller document gives its sample, and the match is measured in the text. So the lengths
+are those of the longest match with smaller documents, exactly, and strings are compared byte by byte.
 """
 
 from __future__ import annotations
@@ -79,12 +79,15 @@ class _Nearest:
 
 
 class RunIndex:
-    """Index of the strings that follow each other in data; docs, one of each string, are in order."""
+    """Index of the strings that follow each other in data, for matches of `least` symbols or more.
 
-    def __init__(self, data: np.ndarray, lengths: np.ndarray, docs: np.ndarray):
+    docs, one of each string, are in order. asked are the strings to be looked for, by default all.
+    """
+
+    def __init__(self, data: np.ndarray, lengths: np.ndarray, docs: np.ndarray, least: int, asked: np.ndarray | None = None):
         lengths = np.asarray(lengths, np.int64)
         s = len(lengths)
-        self.lengths, self.of = lengths, np.concatenate(([0], np.cumsum(docs[1:] != docs[:-1]))).astype(np.int32)
+        self.of = np.concatenate(([0], np.cumsum(docs[1:] != docs[:-1]))).astype(np.int64)
         ends = np.cumsum(lengths + 1) - 1
         here = np.zeros(256, bool)
         here[data] = True
@@ -111,7 +114,7 @@ class RunIndex:
         self.back = np.empty(runs, np.int64)
         self.back[by] = np.cumsum(length[by]) - length[by]
         # samples of the runs' ends
-        own, run, far = self.of[which[rows]].astype(np.int64), np.cumsum(new) - 1, np.int64(s + 1)
+        own, run, far = self.of[which[rows]], np.cumsum(new) - 1, np.int64(s + 1)
         low = np.minimum.accumulate((own + run * far)[::-1])[::-1]
         up = np.concatenate((low[:-1] < low[1:], [True])) if len(low) else np.zeros(0, bool)
         up[np.append(self.start[1:], self.size) - 1] = True
@@ -124,7 +127,21 @@ class RunIndex:
         self.by, self.by_key = by, self.symbol[by] * (runs + 1) + by
         self.group = np.searchsorted(self.symbol[by], np.arange(symbols + 2))
         self.nearest = _Nearest(np.minimum.reduceat(own, self.start)[by])
-        self.text, self.ends = np.concatenate((text, np.zeros(8, text.dtype))), ends
+        self.text = np.concatenate((text, np.zeros(8, text.dtype)))
+        # the last places of the strings asked for, longest strings first, and their neighbours
+        asked = np.arange(s) if asked is None else np.asarray(asked)
+        asked = asked[lengths[asked] >= least]
+        self.asked = asked[np.argsort(-lengths[asked], kind="stable")]
+        self.steps, self.least = lengths[self.asked] - least, least
+        self.at = ends[self.asked] - least
+        row_of = np.empty(self.size, np.int32)
+        row_of[rows] = np.arange(self.size, dtype=np.int32)
+        self.row = row_of[self.at].astype(np.int64)
+        near, d = _Nearest(own.astype(np.int32)), self.of[self.asked]
+        up = near.left(self.row - 1, np.zeros(len(d), np.int64), d)
+        down = near.right(self.row + 1, np.full(len(d), self.size), d)
+        self.sides = [(np.maximum(up, 0), up >= 0), (down, down < self.size)]
+        self.places = [rows[np.minimum(x, self.size - 1)].astype(np.int64) for x, _ in self.sides]
 
     def _run(self, row: np.ndarray) -> np.ndarray:
         word = row >> 6
@@ -143,19 +160,19 @@ class RunIndex:
             go = go[whole]
         return n
 
-    def matches(self, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """(string, offset) of each place whose match with a string of a smaller document is so long."""
-        w = np.argsort(-self.lengths, kind="stable")
-        m = np.searchsorted(-self.lengths[w], -np.arange(1, int(self.lengths.max(initial=0)) + 1), "right")
-        d, row, at = self.of[w].astype(np.int64), w.astype(np.int64), self.ends[w].astype(np.int64)
-        # before the first step all suffixes are end marks, in the order of the documents
-        above = np.searchsorted(self.of, d, "left").astype(np.int64) - 1
-        sides = [
-            # the row, whether it is of a smaller document or a bound, its place in text, and the match
-            [np.maximum(above, 0), above >= 0, self.ends[np.maximum(above, 0)].astype(np.int64), np.zeros(len(w), np.int32)],
-            [np.full(len(w), self.strings, np.int64), np.zeros(len(w), bool), np.zeros(len(w), np.int64), np.zeros(len(w), np.int32)],
-        ]
+    def matches(self) -> tuple[np.ndarray, np.ndarray]:
+        """(string, offset) of each place that has a match of the wanted length with a smaller document."""
+        m = np.searchsorted(-self.steps, -np.arange(1, int(self.steps.max(initial=0)) + 1), "right")
+        d, row, at = self.of[self.asked], self.row.copy(), self.at.copy()
+        # of each side the row, whether it is of a smaller document or a bound, its place in text, and the match
+        sides = [[near.copy(), fine.copy(), place.copy(), np.where(fine, self._same(at, place), 0)] for (near, fine), place in zip(self.sides, self.places)]
         found = []
+
+        def note(k: int) -> None:
+            hit = np.flatnonzero(np.maximum(sides[0][3][:k], sides[1][3][:k]) >= self.least)
+            found.append((self.asked[hit], self.steps[hit] - (self.at[hit] - at[hit])))
+
+        note(len(row))
         for k in m.tolist():
             run = self._run(row[:k])
             c = self.symbol[run]
@@ -190,8 +207,7 @@ class RunIndex:
                 near[jump], fine[jump] = self.back[to] + sample - self.start[to], True
             row[:k] += self.back[run] - self.start[run]
             at[:k] -= 1
-            hit = np.flatnonzero(np.maximum(sides[0][3][:k], sides[1][3][:k]) >= least)
-            found.append((w[hit], at[hit] - (self.ends[w[hit]] - self.lengths[w[hit]])))
-        a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+            note(k)
+        a, b = (np.concatenate(x) for x in zip(*found))
         order = np.lexsort((b, a))
         return a[order], b[order]

@@ -26,6 +26,7 @@ def shared_folder(spark: SparkSession) -> str:
 #: with sets and long texts in its rows such a batch can outgrow an executor.
 BATCH_ROWS = 1000
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def prepare(spark: SparkSession) -> None:
@@ -50,15 +51,27 @@ class Workspace:
         atexit.register(self.close)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and return it as read from there."""
-        path = f"{self.at}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
+        """Write df and return it as read from there; the shuffle files of its plan go once it is written."""
+        path, before = f"{self.at}/{name}-{uuid.uuid4().hex[:8]}", self.spark.conf.get(_FREE, None)
+        self.spark.conf.set(_FREE, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.unset(_FREE) if before is None else self.spark.conf.set(_FREE, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, table: DataFrame) -> None:
+        """Delete a table of this workspace that nothing reads any more."""
+        for path in {os.path.dirname(f) for f in table.inputFiles()}:
+            self._delete(path)
+
+    def _delete(self, at: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def close(self) -> None:
         try:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.at)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(self.at)
         except Exception:  # noqa: BLE001  the session may have ended, and the folder with it
             pass
 

@@ -383,7 +383,12 @@ class _Fold:
             own, lo = own[np.argsort(self.doc[own], kind="stable")], hi
             if not len(own):
                 continue
-            string, offset = RunIndex(data[np.repeat(at[own], length[own]) + _counted(length[own])], length[own], self.doc[own]).matches(LENGTH)
+            # the smallest document of a key has none to look for
+            _, of = np.unique(self.key[own], return_inverse=True)
+            low = np.full(of.max() + 1, _LAST)
+            np.minimum.at(low, of, self.doc[own])
+            asked = np.flatnonzero(self.doc[own] > low[of])
+            string, offset = RunIndex(data[np.repeat(at[own], length[own]) + _counted(length[own])], length[own], self.doc[own], LENGTH, asked).matches()
             if not len(string):
                 continue
             # runs of matched windows, then those of each place of the string
@@ -394,6 +399,15 @@ class _Fold:
             yield d[e], r[e], s[e] + np.repeat(offset[cut], places), np.repeat(n, places) + LENGTH - 1
 
 
+def _joined(d, r, s, n):
+    """The spans with those of a row that touch as one."""
+    order = np.lexsort((s, r, d))
+    d, r, s, n = d[order], r[order], s[order], n[order]
+    end = s + n  # ends of a row's contexts are in the order of their starts
+    new = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (r[1:] != r[:-1]) | (s[1:] > end[:-1]))))
+    return d[new], r[new], s[new], end[np.append(new[1:], len(s)) - 1] - s[new]
+
+
 def _counted(n: np.ndarray) -> np.ndarray:
     """0 to n - 1 for each n."""
     return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
@@ -436,7 +450,8 @@ def indexed_matches(docs: DataFrame, ranges: int, hot: np.ndarray, shard: int =
             send = np.flatnonzero(~done)
             yield _rows(_range_of(h[send], ranges), h[send], d[send], r[send], s[send], n[send], strings.take(pa.array(send)))
             if done.any():
-                yield _rows(-1 - ((d[done] ^ r[done]) % max(ranges, 1)), h[done], d[done], r[done], s[done], n[done])
+                d, r, s, n = _joined(d[done], r[done], s[done], n[done])
+                yield _rows(-1 - ((d ^ r) % max(ranges, 1)), s, d, r, s, n)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fold, unzip = _Fold(), zstandard.ZstdDecompressor().decompress
@@ -462,10 +477,11 @@ def mark_matches(docs: DataFrame, hot: int = HOT) -> DataFrame:
     total = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     ranges = max(1, min(1 << 30, -(-total // PER_RANGE)))
     found = space.table(shared_anchors(own, ranges, hot), "anchors")
-    packed = space.table(pack_spans(found.filter("start >= 0")), "packed")
+    packed, frequent = space.table(pack_spans(found.filter("start >= 0")), "packed"), hot_anchors(found)
+    space.drop(found)
     texts = _zipped(own)
     here = (F.coalesce(texts["doc_id"], F.lit(_LAST)) == packed["_of"]) & (texts["_row"] == packed["_at"])
-    matches = indexed_matches(texts.join(packed, here).select("doc_id", "_row", "text", "spans"), ranges, hot_anchors(found))
+    matches = indexed_matches(texts.join(packed, here).select("doc_id", "_row", "text", "spans"), ranges, frequent)
     spans = space.table(pack_spans(matches), "spans")
     return docs.join(spans, (F.coalesce(docs["doc_id"], F.lit(_LAST)) == spans["_of"]) & (docs["_row"] == spans["_at"]), "left").drop("_of", "_at", "_row")
 

@@ -153,14 +153,14 @@ def test_run_index_by_brute_force():
         if trial % 4 == 0:  # repetitive
             strings = [(strings[0] * 3)[rnd.randrange(5) :][: rnd.randrange(1, 25)] or b"x" for _ in strings]
         docs, least = sorted(rnd.randrange(6) for _ in strings), rnd.randrange(1, 8)
-        a, b = RunIndex(np.frombuffer(b"".join(strings), np.uint8), np.array(list(map(len, strings))), np.array(docs)).matches(least)
+        a, b = RunIndex(np.frombuffer(b"".join(strings), np.uint8), np.array(list(map(len, strings))), np.array(docs), least).matches()
         want = [(j, i) for j, s in enumerate(strings) for i in range(len(s) - least + 1) if any(e < docs[j] and s[i : i + least] in t for t, e in zip(strings, docs))]
         assert list(zip(a.tolist(), b.tolist())) == want
 
 
 def test_run_index_of_every_byte_value():
     one = bytes(range(256))
-    a, b = RunIndex(np.frombuffer(one + one[100:200], np.uint8), np.array([256, 100]), np.array([1, 2])).matches(50)
+    a, b = RunIndex(np.frombuffer(one + one[100:200], np.uint8), np.array([256, 100]), np.array([1, 2]), 50).matches()
     assert a.tolist() == [1] * 51 and b.tolist() == list(range(51))
 
 

@@ -23,10 +23,29 @@ def _key(column: str):
     return F.lpad(F.col(column).cast("string"), 8, "0")
 
 
-def changelog(spark: SparkSession, sf: str) -> DataFrame:
-    """events as a changelog: an error deletes the user's key, anything else puts props."""
+#: Keys are ids of eight digits; those of more digits or below 0 have keys of their own.
+LAST_ID = 99_999_999
+
+
+def _ids(start: str | None, end: str | None):
+    """A filter on user_id that keeps all rows with keys in [start, end], for the scan to prune by."""
+    odd, bounds = (F.col("user_id") < 0) | (F.col("user_id") > LAST_ID), F.lit(True)
+    for bound, fits in ((start, lambda x: F.col("user_id") >= x), (end, lambda x: F.col("user_id") <= x)):
+        if bound is not None and len(bound) == 8 and bound.isdigit():
+            bounds = bounds & fits(int(bound))
+    return odd | bounds
+
+
+def changelog(spark: SparkSession, sf: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """events as a changelog: an error deletes the user's key, anything else puts props.
+
+    Bounds on the key, where given, are handed to the scan as bounds on user_id; they don't replace a filter.
+    """
     gone = F.col("event_type") == "error"
-    return spark.read.schema(EVENTS).parquet(f"{sf}/events.parquet").select(
+    events = spark.read.schema(EVENTS).parquet(f"{sf}/events.parquet")
+    if start is not None or end is not None:
+        events = events.filter(_ids(start, end))
+    return events.select(
         _key("user_id").alias("key"),
         F.when(gone, OP_DELETE).otherwise(OP_PUT).alias("op"),
         F.when(~gone, F.col("props")).alias("value"),
@@ -35,6 +54,10 @@ def changelog(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _scan(spark, sf, start=None, end=None):
+    return lookup.scan(changelog(spark, sf, start, end), start, end)
+
+
 def seglog(spark: SparkSession, sf: str) -> DataFrame:
     return resolve.newest_within(changelog(spark, sf), "seg")
 
@@ -68,10 +91,15 @@ def _orders_live(spark, sf):
 
 
 def _bloom_membership(spark, sf):
-    """Every customer key against a filter over the log's keys: (key, might_contain)."""
+    """Every customer key against a filter over the log's keys: keys, probes, those in the log, of these the
+    ones that the filter denies, and whether false positives stay below three times the target rate."""
     keys = changelog(spark, sf).select("key").distinct()
-    bits, hashes = sketch.bloom_size(keys.count())
-    return sketch.bloom_might_contain(_customers(spark, sf), sketch.bloom_build(keys, bits, hashes), bits, hashes)
+    bits, hashes = sketch.bloom_size(keys.count())  # a filter is made for a number of keys
+    told = sketch.bloom_might_contain(_customers(spark, sf), sketch.bloom_build(keys, bits, hashes), bits, hashes)
+    both = told.join(keys.withColumn("here", F.lit(True)), "key", "left").withColumn("here", F.coalesce("here", F.lit(False)))
+    wrong = F.count_if(F.col("might_contain") & ~F.col("here")) <= 3 * sketch.TARGET_FPR * F.count_if(~F.col("here"))
+    counts = both.agg(F.count(F.lit(1)).alias("n_probes"), F.count_if("here").alias("n_present"), F.count_if(F.col("here") & ~F.col("might_contain")).alias("false_negatives"), wrong.alias("rate_kept"))
+    return keys.agg(F.count(F.lit(1)).alias("n_keys")).join(F.broadcast(counts))  # one row each
 
 
 def _latency_rank(spark, sf):
@@ -87,12 +115,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "segment_inventory": lambda s, d: segments.inventory(seglog(s, d), "seg"),
     "kway_merge_newest_wins": lambda s, d: latest(s, d).select("key", "op", "value"),
     "live_view": live,
-    "point_get": lambda s, d: lookup.point_get(changelog(s, d), "00000001"),
+    "point_get": lambda s, d: lookup.point_get(changelog(s, d, "00000001", "00000001"), "00000001"),
     "point_get_tombstone_state": lambda s, d: lookup.key_states(changelog(s, d), _probes(s)),
     "multi_get": lambda s, d: lookup.multi_get(changelog(s, d), _customers(s, d)),
-    "range_scan": lambda s, d: lookup.scan(changelog(s, d), "00000005", "00000012"),
-    "range_scan_start_only": lambda s, d: lookup.scan(changelog(s, d), start="00000010"),
-    "range_scan_end_only": lambda s, d: lookup.scan(changelog(s, d), end="00000009"),
+    "range_scan": lambda s, d: _scan(s, d, "00000005", "00000012"),
+    "range_scan_start_only": lambda s, d: _scan(s, d, start="00000010"),
+    "range_scan_end_only": lambda s, d: _scan(s, d, end="00000009"),
     "range_scan_empty": lambda s, d: lookup.scan(changelog(s, d), "z", "a"),
     "segment_scan_with_tombstones": lambda s, d: lookup.segment_scan(seglog(s, d).filter("seg = 3"), "00000002", "00000011").select("key", "op", "value"),
     "compact_full": lambda s, d: compaction.compact(changelog(s, d)).select("key", "op", "value"),
@@ -103,8 +131,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "first_hit_segment": lambda s, d: lookup.first_hit(changelog(s, d)),
     "shadowed_versions": lambda s, d: resolve.shadowed_versions(seglog(s, d)),
     "version_history": lambda s, d: resolve.version_history(changelog(s, d)),
-    "naive_log_get": lambda s, d: lookup.point_get(changelog(s, d), "00000001"),
-    "write_amplification": lambda s, d: compaction.write_amplification(changelog(s, d), seglog(s, d)),
+    "naive_log_get": lambda s, d: lookup.naive_get(changelog(s, d), "00000001"),
+    "write_amplification": lambda s, d: compaction.write_amplification(changelog(s, d)),
     "bloom_sizing": lambda s, d: sketch.bloom_sizing(seglog(s, d).groupBy("seg").agg(F.count(F.lit(1)).alias("n"))),
     "bloom_membership": _bloom_membership,
     "record_size_p99": _latency_rank,
@@ -151,6 +179,7 @@ ORACLES: dict[str, str] = {
     "naive_log_get": f"WITH {_LOG} SELECT key, value FROM (SELECT *, row_number() OVER (ORDER BY seq DESC) rn FROM log WHERE key='00000001') t WHERE rn=1 AND op=1",
     "write_amplification": f"WITH {_LATEST}, a AS (SELECT sum({FRAME_BYTES}+{_SIZE}) b FROM log), f AS (SELECT sum({FRAME_BYTES}+{_SIZE}) b FROM seglog), k AS (SELECT sum({FRAME_BYTES}+{_SIZE}) b FROM live), u AS (SELECT sum({_SIZE}) b FROM live) SELECT CAST(a.b AS bigint) log_bytes, CAST(f.b AS bigint) flush_bytes, CAST(k.b AS bigint) compact_bytes, CAST(u.b AS bigint) user_bytes, CAST(a.b+f.b+k.b AS double)/u.b amplification FROM a,f,k,u",
     "bloom_sizing": f"WITH {_SEG}, n AS (SELECT seg, count(*) n FROM seglog GROUP BY seg), m AS (SELECT seg, n, greatest(8, ceil(-(n*ln({sketch.TARGET_FPR}))/power(ln(2),2))) m FROM n) SELECT seg, n, CAST(m AS bigint) num_bits, CAST(floor(m/n*ln(2)+0.5) AS bigint) num_hashes FROM m",
+    "bloom_membership": f"WITH {_LOG}, k AS (SELECT DISTINCT key FROM log), p AS (SELECT DISTINCT lpad(CAST(o_custkey AS varchar),8,'0') AS key FROM orders) SELECT (SELECT count(*) FROM k) n_keys, (SELECT count(*) FROM p) n_probes, (SELECT count(*) FROM p JOIN k USING (key)) n_present, CAST(0 AS bigint) false_negatives, true rate_kept",
     "record_size_p99": f"WITH {_SEG}, z AS (SELECT {_SIZE} v, row_number() OVER (ORDER BY {_SIZE})-1 pos, count(*) OVER () n FROM seglog) SELECT CAST(v AS bigint) p99 FROM z WHERE pos=least(n-1, floor(n*0.99))",
     "orders_overwrite_live": "SELECT lpad(CAST(o_custkey AS varchar),8,'0') AS key, o_orderkey, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) rn FROM orders) t WHERE rn=1",
 }

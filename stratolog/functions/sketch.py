@@ -52,28 +52,36 @@ def bit_positions(key: Column, bits: int, hashes: int) -> Column:
 
 
 def bloom_build(keys: DataFrame, bits: int, hashes: int) -> DataFrame:
-    """The filter as a table of its set bit positions."""
-    return keys.select(F.explode(bit_positions(F.col("key"), bits, hashes)).alias("bit")).distinct()
+    """The filter as a table of its words of 64 bits: as many rows as bits / 64 at most."""
+    at = keys.select(F.explode(bit_positions(F.col("key"), bits, hashes)).alias("bit"))
+    return at.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(_bit("bit")).alias("set"))
+
+
+def _bit(column: str) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), (F.col(column) % 64).cast("int"))
 
 
 def bloom_might_contain(probes: DataFrame, bloom: DataFrame, bits: int, hashes: int) -> DataFrame:
     """(key, might_contain): true iff all positions are set, so never false for a key that was added."""
-    asked = probes.select("key").distinct().withColumn("bit", F.explode(F.array_distinct(bit_positions(F.col("key"), bits, hashes))))
-    hit = asked.join(bloom.withColumn("_set", F.lit(1)), "bit", "left")
-    return hit.groupBy("key").agg((F.count("_set") == F.count(F.lit(1))).alias("might_contain"))
+    asked = probes.select("key").distinct().withColumn("bit", F.explode(bit_positions(F.col("key"), bits, hashes)))
+    hit = asked.withColumn("word", F.shiftright("bit", 6)).join(bloom, "word", "left")
+    missed = F.coalesce(F.col("set").bitwiseAND(_bit("bit")), F.lit(0)) == 0
+    return hit.groupBy("key").agg((~F.bool_or(missed)).alias("might_contain"))
 
 
 def nearest_rank(df: DataFrame, column: str, p: float) -> DataFrame:
     """Nearest-rank percentile, sorted[min(n-1, int(n*p))], exact and without a global sort.
 
-    Distinct values and counts are aggregated first; the running total is taken over those.
+    Distinct values and counts are aggregated first. Values fall into some thousand steps of their logarithm;
+    only the step that holds the rank is put in order.
     """
-    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    ranked = counts.repartitionByRange("value").withColumn("_part", F.spark_partition_id())
-    parts = ranked.groupBy("_part").agg(F.sum("n").alias("in_part"))
-    before = parts.select("_part", (F.sum("in_part").over(Window.orderBy("_part")) - F.col("in_part")).alias("before"))
-    w = Window.partitionBy("_part").orderBy("value")
-    upto = ranked.join(F.broadcast(before), "_part").withColumn("upto", F.col("before") + F.sum("n").over(w))
+    v = F.col("value")
+    step = F.floor(F.signum(v) * F.log2(F.abs(v) + 1) * 64).cast("long")
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n")).withColumn("step", step)
+    upto = F.sum("n").over(Window.orderBy("step"))
+    steps = counts.groupBy("step").agg(F.sum("n").alias("n")).select("step", (upto - F.col("n")).alias("before"), upto.alias("upto"), F.sum("n").over(Window.partitionBy()).alias("total"))
     rank = F.least(F.col("total") - 1, F.floor(F.col("total") * p))
-    return upto.join(F.broadcast(total)).filter((F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank)).select("value")
+    chosen = steps.select("step", "before", "upto", rank.alias("rank")).filter("before <= rank and rank < upto").drop("upto")
+    own = counts.join(F.broadcast(chosen), "step")  # one row
+    own = own.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("step").orderBy("value")))
+    return own.filter((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("rank"))).select("value")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratolog.operators.resolve import live, newest_wins
-from stratolog.schema import FRAME_BYTES, OP_DELETE, payload_bytes
+from stratolog.schema import FRAME_BYTES, OP_DELETE, OP_PUT, payload_bytes
 
 
 def compact(records: DataFrame, order=("seq",)) -> DataFrame:
@@ -29,13 +29,14 @@ def should_compact(inventory: DataFrame, trigger: int, segment: str = "seg") ->
     return inventory.agg((n >= trigger).alias("should_compact"), n.alias("n_segments"))
 
 
-def write_amplification(log: DataFrame, seglog: DataFrame, order=("seg",)) -> DataFrame:
-    """Bytes written by log, flush and one full compaction over the live payload bytes."""
-    framed = F.sum(FRAME_BYTES + payload_bytes()).cast("long")
-    alive = live(newest_wins(seglog, order))
-    a = log.agg(framed.alias("log_bytes"))
-    f = seglog.agg(framed.alias("flush_bytes"))
-    k = alive.agg(framed.alias("compact_bytes"), F.sum(payload_bytes()).cast("long").alias("user_bytes"))
+def write_amplification(log: DataFrame, segment: str = "seg", order: str = "seq") -> DataFrame:
+    """Bytes written by log, flush and one full compaction over the live payload bytes, in one pass."""
+    size, framed = payload_bytes().cast("long"), F.col("n") + FRAME_BYTES
+    by_segment = log.groupBy(segment, "key").agg(F.sum(size + FRAME_BYTES).alias("logged"), F.max_by(F.struct("op", size.alias("n")), order).alias("newest"))
+    by_key = by_segment.groupBy("key").agg(F.sum("logged").alias("logged"), F.sum(F.col("newest.n") + FRAME_BYTES).alias("flushed"), F.max_by("newest", segment).alias("newest"))
+    last = by_key.select("logged", "flushed", "newest.op", "newest.n")
+    put = F.col("op") == OP_PUT
     total = F.col("log_bytes") + F.col("flush_bytes") + F.col("compact_bytes")
-    # one row on each side
-    return a.join(F.broadcast(f)).join(F.broadcast(k)).withColumn("amplification", total.cast("double") / F.col("user_bytes"))
+    return last.agg(
+        F.sum("logged").alias("log_bytes"), F.sum("flushed").alias("flush_bytes"), F.sum(F.when(put, framed)).alias("compact_bytes"), F.sum(F.when(put, F.col("n"))).alias("user_bytes")
+    ).withColumn("amplification", total.cast("double") / F.col("user_bytes"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratolog.operators.resolve import live, newest_wins
-from stratolog.schema import OP_DELETE
+from stratolog.schema import OP_DELETE, OP_PUT
 
 STATES = ("LIVE", "TOMBSTONE", "ABSENT")
 
@@ -27,6 +27,12 @@ def point_get(df: DataFrame, key, order=("seq",)) -> DataFrame:
     return live(newest_wins(df.filter(F.col("key") == F.lit(key)), order)).select("key", "value")
 
 
+def naive_get(df: DataFrame, key, order=("seq",)) -> DataFrame:
+    """point_get by reading the whole log: the key is compared inside the aggregate, so nothing is pruned."""
+    newest = F.max_by(F.struct("op", "value"), F.when(F.col("key") == F.lit(key), F.struct(*order)))
+    return df.agg(newest.alias("_row")).filter(F.col("_row.op") == OP_PUT).select(F.lit(key).alias("key"), F.col("_row.value").alias("value"))
+
+
 def key_states(df: DataFrame, probes: DataFrame, order=("seq",)) -> DataFrame:
     """For each probe key: LIVE, TOMBSTONE or ABSENT, and the value if live."""
     hit = newest_wins(df, order).select("key", "op", "value")

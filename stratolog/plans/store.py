@@ -1,12 +1,17 @@
 """Table handle: put, delete, get, scan, flush, compact and reopen over a directory.
 
-root/log/NNN.parquet holds unflushed batches, root/segments/NNN.parquet key-sorted segments, and the
+root/log/ID.parquet holds unflushed batches, root/segments/NNN.parquet key-sorted segments, and the
 manifest lists both, oldest first. Only what the manifest lists is visible; files it doesn't list are
-left over from a crash and vacuum() removes them.
+left over from a crash and vacuum() removes them. No file is written twice. A directory of segments without
+a manifest is adopted as it is listed, in the order of the names.
+
+One full compaction rewrites all segments, as its result must hold no tombstones: with very large tables
+call it rarely, or keep a store per key range.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,15 +30,24 @@ DEFAULT_TRIGGER = 4
 class Store:
     """Opens root, creating it if needed. Reads are bound to the manifest version of the call.
 
-    One writer at a time is expected; a second one fails in its commit rather than losing records.
-    Compaction may run beside the writer.
+    A batch is written under a name of its own before its commit, which gives it the next seqs; batches of
+    several writers are so all kept, in the order of their commits. Compaction may run beside them.
     """
 
     def __init__(self, spark: SparkSession, root: str, memtable_max_bytes: int = DEFAULT_MEMTABLE_BYTES):
         self.spark, self.root, self.limit = spark, root.rstrip("/"), memtable_max_bytes
         self.manifest = Manifest(spark, self.root)
-        self._buffer: list[tuple[int, bytes, bytes | None]] = []
         self._closed = False
+        if not self.manifest.versions():
+            self._adopt()
+
+    def _adopt(self) -> None:
+        """Take over segments that no manifest lists; their seqs must grow from segment to segment."""
+        paths = [f"{self.root}/segments/{x}" for x in self.manifest.children(f"{self.root}/segments") if x.endswith(".parquet")]
+        if paths:
+            entries = [self._entry(x) for x in paths]
+            last = seg.read_segment(self.spark, *paths).agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+            self.manifest.commit(lambda m: None if m["version"] else m | {"segments": entries, "last_seq": last, "next_id": len(entries)})
 
     # writes
     def put(self, key: bytes, value: bytes) -> None:
@@ -50,41 +64,48 @@ class Store:
                 raise ValueError(f"unknown op {op}")
             rows.append((as_bytes(key, "key"), op, as_bytes(value, "value") if op == OP_PUT else None, i))
         if rows:
-            self._append(self.spark.createDataFrame(rows, CHANGELOG_SCHEMA).coalesce(1), len(rows))
+            self._append(self.spark.createDataFrame(rows, CHANGELOG_SCHEMA).coalesce(1))
 
     def write_batch(self, df: DataFrame) -> None:
         """Append a changelog DataFrame; its seq decides recency inside the batch.
 
-        The values are shifted behind the store's last seq, so they need only be ordered.
+        df is evaluated once. Its seqs need only be ordered: the manifest says how far a batch's are shifted.
         """
-        df = conform(df)
-        low, high = df.agg(F.min("seq"), F.max("seq")).first()
-        if low is not None:
-            self._append(df.withColumn("seq", F.col("seq") - F.lit(low)), high - low + 1)
+        self._append(conform(df))
 
-    def _append(self, df: DataFrame, span: int) -> None:
+    def _append(self, df: DataFrame) -> None:
         if self._closed:
             raise RuntimeError("the store is closed")
-        now = self.manifest.read()
-        first, path = now["last_seq"] + 1, f"{self.root}/log/{now['last_seq'] + 1:020d}.parquet"
-        shifted = df.withColumn("seq", F.col("seq") + F.lit(first))
-        shifted.select(*CHANGELOG_SCHEMA.names).write.mode("overwrite").parquet(path)
-        size = seg.read_segment(self.spark, path).agg(F.sum(payload_bytes())).first()[0] or 0
-
-        def add(m: dict) -> dict:
-            if m["last_seq"] + 1 != first:
-                raise RuntimeError("another writer has appended to this store")
-            return m | {"log": [*m["log"], {"path": path, "bytes": size}], "last_seq": first + span - 1}
-
-        after = self.manifest.commit(add)
+        path, after = f"{self.root}/log/{uuid.uuid4().hex}.parquet", None
+        try:
+            df.write.mode("errorifexists").parquet(path)
+            low, high, size = seg.read_segment(self.spark, path).agg(F.min("seq"), F.max("seq"), F.sum(payload_bytes())).first()
+            if low is not None:
+
+                def add(m: dict) -> dict:
+                    first = m["last_seq"] + 1
+                    return m | {"log": [*m["log"], {"path": path, "bytes": size, "shift": first - low}], "last_seq": first + high - low}
+
+                after = self.manifest.commit(add)
+        finally:
+            if after is None:
+                self.manifest.delete(path)
         # The batches' own sizes bound the resolved size from above: only near the limit is it computed.
-        if sum(x["bytes"] for x in after["log"]) >= self.limit and self.memtable_bytes() >= self.limit:
+        if after and sum(x["bytes"] for x in after["log"]) >= self.limit and self.memtable_bytes() >= self.limit:
             self.flush()
 
     # views
     def log_tail(self, m: dict | None = None) -> DataFrame:
-        m = m or self.manifest.read()
-        return seg.read_segment(self.spark, *[x["path"] for x in m["log"]])
+        return self._shifted((m or self.manifest.read())["log"])
+
+    def _shifted(self, log: list[dict]) -> DataFrame:
+        """The batches with the seqs that their commits gave them."""
+        if not log:
+            return seg.read_segment(self.spark)
+        batch = F.regexp_extract(F.col("_metadata.file_path"), r"/log/([^/]+)\.parquet/", 1)
+        shifts = F.create_map(*[F.lit(x) for e in log for x in (e["path"].rsplit("/", 1)[-1].removesuffix(".parquet"), e.get("shift", 0))])
+        rows = seg.read_segment(self.spark, *[x["path"] for x in log])
+        return rows.select("key", "op", "value", (F.col("seq") + F.element_at(shifts, batch).cast("long")).alias("seq"))
 
     def memtable(self) -> DataFrame:
         return newest_wins(self.log_tail())
@@ -96,10 +117,11 @@ class Store:
         """The flushed segments, oldest first, tombstones included."""
         return [seg.read_segment(self.spark, x["path"]) for x in self.manifest.read()["segments"]]
 
-    def records(self, version: int | None = None, start: bytes | None = None, end: bytes | None = None) -> DataFrame:
+    def records(self, version: int | None = None, start: bytes | None = None, end: bytes | None = None, use_bloom: bool = True) -> DataFrame:
         """All visible records; segments whose key range misses [start, end] aren't listed to Spark.
 
-        seq alone orders them: every flush and compaction carries it along.
+        seq alone orders them: every flush and compaction carries it along. Without use_bloom the scan
+        leaves the segments' Bloom filters aside, with the same result.
         """
         m = self.manifest.read(version)
         keep = [
@@ -107,12 +129,13 @@ class Store:
             for x in m["segments"]
             if x["n"] and not (start is not None and bytes.fromhex(x["max_key"]) < start) and not (end is not None and bytes.fromhex(x["min_key"]) > end)
         ]
-        return lookup.in_range(seg.read_segment(self.spark, *keep, *[x["path"] for x in m["log"]]), start, end)
+        found = seg.read_segment(self.spark, *keep, use_bloom=use_bloom)
+        return lookup.in_range(found.unionAll(self._shifted(m["log"])) if m["log"] else found, start, end)
 
     # reads
-    def get(self, key: bytes) -> bytes | None:
+    def get(self, key: bytes, use_bloom: bool = True) -> bytes | None:
         key = as_bytes(key, "key")
-        row = live(newest_wins(self.records(None, key, key))).select("value").first()
+        row = live(newest_wins(self.records(None, key, key, use_bloom))).select("value").first()
         return None if row is None else bytes(row[0])
 
     def multi_get(self, probes: DataFrame) -> DataFrame:
@@ -125,8 +148,11 @@ class Store:
 
     # maintenance
     def _write_segment(self, df: DataFrame, m: dict, prefix: str) -> dict:
-        path = f"{self.root}/segments/{prefix}{m['next_id']:09d}-{self.spark._jvm.java.util.UUID.randomUUID().toString()[:8]}.parquet"
+        path = f"{self.root}/segments/{prefix}{m['next_id']:09d}-{uuid.uuid4().hex[:8]}.parquet"
         seg.write_segment(df, path)
+        return self._entry(path)
+
+    def _entry(self, path: str) -> dict:
         row = seg.inventory(seg.read_segment(self.spark, path)).first()
         return {"path": path, "n": row["n"], "n_tomb": row["n_tomb"], "min_key": None if row["min_key"] is None else bytes(row["min_key"]).hex(), "max_key": None if row["max_key"] is None else bytes(row["max_key"]).hex()}
 

@@ -24,11 +24,11 @@ def write_segment(df: DataFrame, path: str, partitions: int | None = None) -> No
     )
 
 
-def read_segment(spark: SparkSession, *paths: str) -> DataFrame:
+def read_segment(spark: SparkSession, *paths: str, use_bloom: bool = True) -> DataFrame:
     """All records of the segments, tombstones included; empty if there are no paths."""
     if not paths:
         return spark.createDataFrame([], CHANGELOG_SCHEMA)
-    return spark.read.schema(CHANGELOG_SCHEMA).parquet(*paths)
+    return spark.read.schema(CHANGELOG_SCHEMA).option("parquet.filter.bloom.enabled", str(use_bloom).lower()).parquet(*paths)
 
 
 def inventory(seglog: DataFrame, *by: str) -> DataFrame:

@@ -21,9 +21,7 @@ def upsert_stream(changes: DataFrame, store: Store, checkpoint: str, trigger: di
     conform(changes)
 
     def append(batch: DataFrame, _: int) -> None:
-        batch.persist()
         store.write_batch(batch)
-        batch.unpersist()
         if compact_at:
             store.compact(compact_at)
 

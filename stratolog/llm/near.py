@@ -1,15 +1,18 @@
 """Near-duplicate documents: SetSketch registers, banded, estimated jointly by likelihood, then verified.
 
-A document is the set of its distinct 5-word shingles. Equal sets form a class, of which the smallest
-doc_id stands for all. Bands of register values group the representatives; in each group every member is
-compared with hubs of the group, not with every other member. A pair goes on if a similarity of the
-threshold or more is plausible from both sketches, and is confirmed on the full sets. Members of a group
-that are then in another component than the group's largest one meet all of the group's members
-that aren't in theirs. So no pair of a shared band goes uncompared unless both are linked already.
-
-Null or empty text and texts without words have no shingle and link with nothing. Rows with one doc_id
-count as one document. A null doc_id links with nothing, has a null component and is kept. Equal texts are
-linked. Other columns are ignored, and kept by near_dedup.
+A text is the set of its distinct 5-word shingles. Equal sets form a class, of which one stands for all.
+Bands of register values group the representatives; in each group every member is compared with hubs of the
+group, not with every other member. A pair goes on if a similarity of the threshold or more is plausible
+from both sketches, and is confirmed on the full sets. Members of a group that are then in another component
+than the group's largest one meet all of the group's members that aren't in theirs. In a large group they
+meet only where they share one of their rarest shingles, as two similar sets must: of n shingles, n - ceil(0.75 n)
++ 1 suffice. So no pair of a shared band goes uncompared unless both are linked already.
+
+Null or empty text and texts without words have no shingle and link with nothing. Each row has a result of its
+own: rows of one doc_id with equal texts are linked, rows of one doc_id with other texts are documents of
+their own that share an id, and near_dedup drops only those that are copies. A null doc_id links with nothing,
+has a null component and is kept. Equal texts are linked. Texts are read whole, whatever their length. An
+empty table gives an empty one. Other columns are ignored, and kept by near_dedup.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 
 from stratolog.llm import sketch
 from stratolog.llm.components import components
-from stratolog.llm.shared import Workspace, set_aside, sliced, text_bytes
+from stratolog.llm.shared import Workspace, keyed, set_aside, sliced, text_bytes
 from stratolog.llm.shingles import shingle_sets
 
 #: Per cent.
@@ -37,18 +40,18 @@ SMALL, BLOCK = 24, 256
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, print, regs): set size, a 128-bit fingerprint of the set, and its registers."""
+    """(doc_id, _row, n, print, regs): set size, a 128-bit fingerprint of the set, and its registers."""
 
     def run(batches):
         for b in sliced(batches, "text", 1 << 20):
             sets = shingle_sets(text_bytes(b["text"]))
             regs = sketch.sketches(sets)
             yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary())],
-                ["doc_id", "n", "print", "regs"],
+                [b["doc_id"], b["_row"], pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary())],
+                ["doc_id", "_row", "n", "print", "regs"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, print binary, regs binary")
+    return docs.select("doc_id", "_row", "text").mapInArrow(run, "doc_id long, _row long, n long, print binary, regs binary")
 
 
 def _registers(column) -> np.ndarray:
@@ -81,12 +84,12 @@ def plausible(pairs: DataFrame, reps: DataFrame, similarity: int) -> DataFrame:
 class Verifier:
     """Confirms pairs on full sets, which are computed once per representative that is ever asked for."""
 
-    def __init__(self, docs: DataFrame, space: Workspace, similarity: int):
-        self.docs, self.space, self.similarity = docs.select(F.col("doc_id").alias("rep"), "text"), space, similarity
+    def __init__(self, docs: DataFrame, reps: DataFrame, space: Workspace, similarity: int):
+        self.docs, self.reps, self.space, self.similarity = docs.select("doc_id", "_row", "text"), reps, space, similarity
         self.known: DataFrame | None = None
 
-    def shared_sizes(self, ids: DataFrame) -> DataFrame:
-        """(rep, n, shared): sizes of the sets of ids (rep), and shingles that another of them has too."""
+    def _shingles(self, ids: DataFrame) -> DataFrame:
+        """(rep, shingle) of ids (rep)."""
 
         def run(batches):
             for b in batches:
@@ -95,11 +98,29 @@ class Verifier:
                     for lo in range(0, len(h), 50_000):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h[lo : lo + 50_000]), r)), pa.array(h[lo : lo + 50_000])], ["rep", "shingle"])
 
-        sets = self._sets(ids).join(ids, "rep")
-        alone = sets.mapInArrow(run, "rep long, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("rep").alias("rep")).filter("k = 1")
+        return self._sets(ids).join(ids, "rep").mapInArrow(run, "rep long, shingle long")
+
+    def shared_sizes(self, ids: DataFrame) -> DataFrame:
+        """(rep, n, shared): sizes of the sets of ids (rep), and shingles that another of them has too."""
+        shingles = self._shingles(ids)
+        alone = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("rep").alias("rep")).filter("k = 1")
         own = alone.groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
-        n = F.expr("octet_length(shingles) div 8")
-        return sets.select("rep", n.alias("n")).join(own, "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
+        sizes = self.reps.select("rep", "n").join(ids, "rep")
+        return sizes.join(own, "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
+
+    def rarest(self, ids: DataFrame) -> DataFrame:
+        """(shingle, rep): of each set of ids (rep) the rarest shingles, of which similar sets share one.
+
+        Sets of similarity s have at least s * n shingles of either in common. With all shingles in one
+        order, from rare to frequent, the first n - ceil(s * n) + 1 of both so meet. Those that no other set
+        of ids has come first and go.
+        """
+        shingles = self.space.table(self._shingles(ids), "shingles")
+        often = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+        sizes = self.reps.select("rep", "n").join(ids, "rep")
+        listed = shingles.join(often, "shingle").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("k", "shingle"))).alias("all")).join(sizes, "rep")
+        first = F.col("n") - F.ceil(F.col("n") * self.similarity / 100) + 1 - (F.col("n") - F.size("all"))
+        return listed.select(F.explode(F.slice("all", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))).alias("_s"), "rep").select("_s.shingle", "rep")
 
     def confirm_within(self, groups: DataFrame) -> DataFrame:
         """Links (a, b) between components within each group of groups (key, members, rep, component).
@@ -148,7 +169,8 @@ class Verifier:
                 sets = shingle_sets(text_bytes(b["text"]))
                 yield pa.RecordBatch.from_arrays([b["rep"], pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "shingles"])
 
-        new = self.space.table(self.docs.join(self.space.table(ids, "asked"), "rep", "left_semi").mapInArrow(run, "rep long, shingles binary").dropDuplicates(["rep"]), "sets")
+        asked = self.space.table(self.reps.join(ids, "rep", "left_semi").select("rep", "doc_id", "_row"), "asked")
+        new = self.space.table(self.docs.join(asked, ["doc_id", "_row"]).select("rep", "text").mapInArrow(run, "rep long, shingles binary"), "sets")
         self.known = new if self.known is None else self.known.union(new)
         return self.known
 
@@ -175,17 +197,22 @@ class Verifier:
 
 def near_components(docs: DataFrame, similarity: int = SIMILARITY, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of docs (doc_id, text)."""
+    space = Workspace(docs.sparkSession)
+    return _components(keyed(docs.select("doc_id", "text"), space), space, similarity, hub_rounds).drop("_row")
+
+
+def _components(docs: DataFrame, space: Workspace, similarity: int, hub_rounds: int) -> DataFrame:
+    """near_components of rows that are told apart by doc_id and _row."""
     spark = docs.sparkSession
-    space = Workspace(spark)
     sigs = space.table(signatures(docs), "signatures")
     named = sigs.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = space.table(named.groupBy("print").agg(F.min("doc_id").alias("rep")), "classes")
-    member = named.select("doc_id", "print").join(classes, "print").select("doc_id", "rep")
-    reps = space.table(named.join(classes, "print").filter("doc_id = rep").select("rep", "n", "regs").dropDuplicates(["rep"]), "reps")
+    # a class is numbered once it is written, as two of them may have one smallest doc_id
+    classes = named.groupBy("print").agg(F.min(F.struct("doc_id", "_row")).alias("low"), F.any_value("n").alias("n"), F.any_value("regs").alias("regs"))
+    reps = space.table(classes.select("print", "low.doc_id", "low._row", "n", "regs").withColumn("rep", F.monotonically_increasing_id()), "reps")
     bands = band_rows(reps)
     keys = space.table(bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("low"), F.max("rep").alias("high")).filter("size > 1"), "keys")
     groups = space.table(bands.join(keys, "key").select("key", "rep", "low", "high"), "groups")
-    verifier, links = Verifier(docs, space, similarity), spark.createDataFrame([], "a long, b long")
+    verifier, links = Verifier(docs, reps, space, similarity), spark.createDataFrame([], "a long, b long")
 
     hubs = groups.select(F.col("low").alias("a"), F.col("rep").alias("b")).union(groups.select(F.col("high").alias("a"), F.col("rep").alias("b")))
     met = hubs.filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
@@ -232,33 +259,44 @@ def near_components(docs: DataFrame, similarity: int = SIMILARITY, hub_rounds: i
             odd = space.table(small.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("shared").alias("sb")), "odd")
             met = odd.join(side("a"), "key").filter(able)
             new = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-            # large ones are compared in blocks
-            large = space.table(all_.filter(F.col("members") > SMALL).select("key", "members", "rep", "component"), "large")
+            # members of large ones are compared where rare shingles bring them together
+            large = space.table(all_.filter(F.col("members") > SMALL).select("rep", "component").distinct(), "large")
             if large.limit(1).count():
-                found = space.table(verifier.confirm_within(large), "links")
-                if found.limit(1).count():
-                    links = links.union(found)
-                    label = components(links, space)
+                met = space.table(verifier.rarest(large.select("rep")).join(large, "rep").select(F.col("shingle").alias("key"), "rep", "component"), "rare")
+                one = met.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("_low"), F.max("component").alias("_high"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"))
+                one = one.filter("_low <> _high").groupBy("members", "who").agg(F.min("key").alias("key")).select("key", "members")
+                met = space.table(met.join(space.table(one, "one"), "key"), "met")
+                few = met.filter(F.col("members") <= SMALL)
+                new = new.union(few.select("key", F.col("rep").alias("a"), F.col("component").alias("ca")).join(few.select("key", F.col("rep").alias("b"), F.col("component").alias("cb")), "key").filter("a > b and ca <> cb").select("a", "b"))
+                many = space.table(met.filter(F.col("members") > SMALL), "many")
+                if many.limit(1).count():
+                    found = space.table(verifier.confirm_within(many), "links")
+                    if found.limit(1).count():
+                        links = links.union(found)
+                        label = components(links, space)
         new = space.table(plausible(space.table(new.distinct(), "new"), reps, similarity), "plausible")
         if new.limit(1).count():
             found = verifier.confirm(new)
             if found.limit(1).count():
                 links = links.union(found)
                 label = components(links, space)
-    of_rep = member.distinct().join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
-    component = F.coalesce("component", "doc_id")
-    return (
-        sigs.select("doc_id", F.col("n").alias("n_shingles"))
-        .join(of_rep, "doc_id", "left")
-        .select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
-    )
+    # the smallest doc_id of each component
+    of = reps.select("rep", "doc_id").join(label.select(F.col("id").alias("rep"), "component"), "rep")
+    smallest = of.groupBy("component").agg(F.min("doc_id").alias("_low"))
+    joined = of.join(smallest, "component").select("rep", "_low")
+    of_print = reps.select(F.col("print").alias("_print"), "rep", F.col("doc_id").alias("_own")).join(joined, "rep", "left").select("_print", F.coalesce("_low", "_own").alias("_low"))
+    found = sigs.select("doc_id", "_row", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("print")).alias("print"))
+    component = F.coalesce("_low", "doc_id")
+    return found.join(of_print, F.col("print") == F.col("_print"), "left").select("doc_id", "_row", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def near_dedup(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """docs with one document, the smallest doc_id, of each group of near copies."""
+    space = Workspace(docs.sparkSession)
     inner, names = set_aside(docs, "doc_id", "text")
-    gone = near_components(docs.select("doc_id", "text"), similarity).filter("not kept").select(F.col("doc_id").alias("_of")).distinct()
-    return inner.join(gone, F.col("doc_id") == F.col("_of"), "left_anti").select(*names).toDF(*docs.columns)
+    inner = keyed(inner, space)
+    gone = _components(inner.select("doc_id", "_row", "text"), space, similarity, HUB_ROUNDS).filter("not kept").select(F.col("doc_id").alias("_of"), F.col("_row").alias("_at"))
+    return inner.join(gone, (F.col("doc_id") == F.col("_of")) & (F.col("_row") == F.col("_at")), "left_anti").select(*names).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf: str) -> DataFrame:

@@ -91,6 +91,31 @@ def test_near_copies_of_odd_rows(odd, odd_rows, empty):
     assert near.near_components(empty).count() == 0 and near.near_dedup(empty).count() == 0
 
 
+def test_near_copies_of_rows_that_share_an_id(spark):
+    rnd = random.Random(4)
+    p, r, q = (" ".join("%s%d" % (c, rnd.randrange(10**6)) for _ in range(60)) for c in "prq")
+    rows = [(3, p), (5, p), (5, r), (7, q), (7, q + " end"), (8, r + " more"), (None, p), (5, r)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((x.doc_id or 0, x.n_shingles, x.component_id, x.kept) for x in near.near_components(df).collect()), key=str)
+    assert got == sorted([(3, 56, 3, True), (5, 56, 3, False), (5, 56, 5, True), (5, 56, 5, True), (7, 56, 7, True), (7, 57, 7, True), (8, 57, 5, False), (0, 56, None, True)], key=str)
+    left = sorted(((x.doc_id or 0, x.text) for x in near.near_dedup(df).collect()))
+    assert left == sorted([(3, p), (5, r), (5, r), (7, q), (7, q + " end"), (0, p)])
+
+
+def test_a_large_band_of_other_texts_is_not_compared_in_pairs(spark, monkeypatch):
+    """All texts share a band and two thirds of their words with the others, and few of them are copies."""
+    rnd = random.Random(6)
+    monkeypatch.setattr(near, "band_rows", lambda reps: reps.select(F.lit(1).cast("long").alias("key"), "rep"))
+    passage = ["w%d" % i for i in range(200)]
+    rows = [(k, " ".join(passage + ["o%d" % rnd.randrange(10**9) for _ in range(90)])) for k in range(300)]
+    rows += [(1000 + k, edited(rnd, rows[7 * k][1].split(), 3)) for k in range(30)] + [(2000 + k, " ".join("x%d" % rnd.randrange(3) for _ in range(40))) for k in range(30)]
+    compared, confirm = [], near.Verifier.confirm
+    monkeypatch.setattr(near.Verifier, "confirm", lambda self, pairs: (compared.append(pairs.count()), confirm(self, pairs))[1])
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_near(rows)
+    assert sum(compared) < 5 * len(rows)
+
+
 def test_shingles_in_pieces_equal_whole(monkeypatch):
     t = ("Ab  c\x0bd é 日本 " * 300).encode()
     whole = word_hashes([t])[0]

@@ -54,6 +54,17 @@ def log_sum(terms: list[float]) -> float:
     return top if len(terms) == 1 or top == -math.inf else top + math.log(sum(math.exp(x - top) for x in terms))
 
 
+def log_sums(terms: list[np.ndarray]) -> np.ndarray:
+    """log_sum of each place of several arrays."""
+    if len(terms) == 1:
+        return terms[0]
+    x = np.stack(terms)
+    top = x.max(axis=0)
+    base = np.where(top == -math.inf, 0.0, top)
+    with np.errstate(divide="ignore"):
+        return base + np.log(np.exp(x - base).sum(axis=0))
+
+
 @dataclass
 class WordModel:
     """Unigram model of a word's pieces: one initial piece (its space mark stripped), further pieces, stop.
@@ -150,9 +161,8 @@ class BatchLattice:
     """The lattices of many words at once: arcs are found once and weighed by several models.
 
     Words of one length share array operations. Pieces are found by a polynomial hash of 64 bits, under
-    which those of the vocabulary are checked to differ. Sums run on probabilities: a word that is so
-    long or rare that they could underflow, or that has a character without a piece, takes the log-space
-    recursion of WordModel instead.
+    which those of the vocabulary are checked to differ. Recursions run on logarithms. A very long word, or
+    one that has a character without a piece, takes those of WordModel.
     """
 
     MOST = 30
@@ -162,7 +172,7 @@ class BatchLattice:
     def __init__(self, vocab: PieceVocab, models: list[WordModel]):
         self.models = models
         self.tables = [self._table([*m]) for m in (models[0].initial, models[0].further)]
-        weigh = lambda names, of: np.array([[math.exp(of(m)[p]) for p in names] + [0.0] for m in models])
+        weigh = lambda names, of: np.array([[of(m)[p] for p in names] + [-math.inf] for m in models])
         self.w_initial = weigh(models[0].initial, lambda m: m.initial)
         self.w_further = weigh(models[0].further, lambda m: m.further)
         self.longest = vocab.longest
@@ -239,12 +249,11 @@ class BatchLattice:
         return ends
 
     def _forward(self, ends, k: int) -> list[np.ndarray]:
+        """Log-probability of all ways to reach each position, summed over segmentations."""
         alpha: list[np.ndarray] = []
         for arcs in ends:
-            total = np.zeros(len(ends[-1][0][1]))
-            for i, idx in arcs:
-                total += self.w_initial[k][idx] if i < 0 else alpha[i] * self.w_further[k][idx]
-            alpha.append(total)
+            terms = [self.w_initial[k][idx] if i < 0 else alpha[i] + self.w_further[k][idx] for i, idx in arcs]
+            alpha.append(log_sums(terms) if terms else np.full(len(ends[-1][0][1]), -math.inf))
         return alpha
 
     def log_probabilities(self, words: list[str]) -> np.ndarray:
@@ -257,13 +266,15 @@ class BatchLattice:
                 continue
             ends = self._arcs(codes)
             for k, m in enumerate(self.models):
-                p = self._forward(ends, k)[-1]
-                with np.errstate(divide="ignore"):
-                    out[at, k] = np.log(p) + m.stop
-                for w in np.flatnonzero(p < 1e-250).tolist():
-                    out[at[w], k] = m.log_probability(words[at[w]])
+                out[at, k] = self._forward(ends, k)[-1] + m.stop
         return out
 
+    def marginal(self, words: list[str], whole: np.ndarray, enter: np.ndarray) -> np.ndarray:
+        """Natural logs of the sum over all paths of each word: an arc for the whole word of log weight `whole`,
+        and all segmentations under each model, entered with log weight enter[model]."""
+        paths = self.log_probabilities(words) + enter[None, :]
+        return log_sums([whole, *paths.T])
+
     def expected(self, words: list[str], k: int):
         """Summed posterior counts under model k: by initial piece, by further piece, by byte."""
         initial, further, of_bytes = np.zeros(self.w_initial.shape[1]), np.zeros(self.w_further.shape[1]), [0.0] * 256
@@ -275,21 +286,20 @@ class BatchLattice:
                 continue
             ends = self._arcs(codes)
             alpha = self._forward(ends, k)
-            fine = alpha[-1] >= 1e-250
-            for w in np.flatnonzero(~fine).tolist():
-                self.models[k].add_expected(words[at[w]], slow_i, slow_f, of_bytes)
-            scale = np.where(fine, 1 / np.where(fine, alpha[-1], 1), 0.0)
-            beta = [np.zeros(len(at)) for _ in ends]
-            beta[-1] += scale
+            back: list[list[np.ndarray]] = [[] for _ in ends]
+            back[-1].append(-alpha[-1])  # posteriors are shares of the word's probability
             found = {True: ([], []), False: ([], [])}
             for j in range(len(ends) - 1, -1, -1):
+                if not back[j]:
+                    continue
+                beta = log_sums(back[j])
                 for i, idx in ends[j]:
-                    p = (self.w_initial if i < 0 else self.w_further)[k][idx] * beta[j]
+                    p = (self.w_initial if i < 0 else self.w_further)[k][idx] + beta
                     if i >= 0:
-                        beta[i] += p
-                        p = p * alpha[i]
+                        back[i].append(p)
+                        p = p + alpha[i]
                     found[i < 0][0].append(idx)
-                    found[i < 0][1].append(p)
+                    found[i < 0][1].append(np.exp(p))
             for first, sums in ((True, initial), (False, further)):
                 if found[first][0]:
                     sums += np.bincount(np.concatenate(found[first][0]), np.concatenate(found[first][1]), len(sums))

@@ -1,20 +1,23 @@
 """LM scoring: subword lattice likelihood over an existing vocabulary.
 
-A text is its lowered words and one end. The model mixes classes of texts (by default one per language of
-the training texts), whose weights are their shares; in a class z
+A text is its lowered words and one end. A word's lattice has its segmentations into pieces of the
+vocabulary, weighted from the vocabulary's scores, and arcs for the whole word where training texts have it;
+the forward recursion sums over all of them in log space. A text's probability is marginal over all its
+words' segmentations and over the classes of texts that the model mixes (by default one per language of
+the training texts), whose weights are their shares. In a class z the weights are
 
-    P_z(word) = (c_z - d_z)+ / N_z + d_z * V_z / N_z * Q(word),   P_z(end) = D_z / N_z
-    Q(word)   = (c - d)+ / M + d * V / M * sum over k of share_k * lattice_k(word)
+    whole word: (c_z - d_z)+ / N_z,  and all else entered with d_z * V_z / N_z:
+    whole word: (c - d)+ / M,        and all else entered with d * V / M:
+    pieces under the weights of class k, entered with share_k;      end of text: D_z / N_z
 
-with c counts, N training tokens, M = N - D, D texts, V word types and d the absolute discount. A word's
-lattice sums over every segmentation into pieces of the vocabulary, weighted from its scores and refitted
-by EM to the word types of class k; a word of the training texts so has arcs for the whole word besides.
-All texts together have probability 1. Scores are marginal over segmentations and classes; a text's own
-class, language or source is not looked at.
+with c counts, N training tokens, M = N - D, D texts, V word types and d the absolute discount, so that what
+discounts take from known words enters the pieces. Piece weights start from the vocabulary's scores and are
+refitted by EM to the word types of class k. All texts together have probability 1. A text's own class,
+language or source is not looked at when it is scored.
 
 Null text is empty and scores P(end). Repeated rows score equally, each in a row of its own. With no
-training row only the lattice of the vocabulary's own weights scores, an end counting one half. Columns
-beside those named are ignored. A word of any length is scored whole.
+training row only the lattice of the vocabulary's own weights scores, an end counting one half; an empty
+table gives an empty one. Columns beside those named are ignored. A word of any length is scored whole.
 """
 
 from __future__ import annotations
@@ -28,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratolog.llm.lattice import BatchLattice, PieceVocab, WordModel, refit, word_model
+from stratolog.llm.lattice import BatchLattice, PieceVocab, WordModel, log_sums, refit, word_model
 from stratolog.llm.shared import Workspace, gathered, held_out, split_words, text_bytes
 
 VOCABULARY = "piece_bpe_32k.model"
-EM_ROUNDS = 2
-#: Classes besides the one of all texts of rarer classes.
+EM_ROUNDS = 3
+#: Size of the mixture: classes with a component of their own, besides the component that all others share.
 CLASSES = 7
 #: At most so many words, the most frequent ones, are looked up in a broadcast and not by a join.
 FREQUENT = 200_000
@@ -104,11 +107,11 @@ def fit_pieces(words: DataFrame, vocab: PieceVocab, classes: int, rounds: int =
     return models
 
 
-def _class_of(docs: DataFrame, by, held) -> tuple[DataFrame, int, list[int]]:
+def _class_of(docs: DataFrame, by, held, classes: int) -> tuple[DataFrame, int, list[int]]:
     """docs with a class number, -1 where held out; the number of classes; training texts by class."""
     name = F.coalesce(by.cast("string"), F.lit("")) if by is not None else F.lit("")
     counted = docs.withColumn("_name", name).filter(~held).groupBy("_name").count()
-    top = [r["_name"] for r in counted.orderBy(F.desc("count"), "_name").limit(CLASSES).collect()]
+    top = [r["_name"] for r in counted.orderBy(F.desc("count"), "_name").limit(classes).collect()]
     total = counted.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     number = F.lit(len(top))
     for k, x in enumerate(top):
@@ -118,15 +121,16 @@ def _class_of(docs: DataFrame, by, held) -> tuple[DataFrame, int, list[int]]:
     return docs, len(top) + 1, [sizes.get(k, 0) for k in range(len(top) + 1)]
 
 
-def score_texts(docs: DataFrame, held, by=None, vocabulary: str | None = None, id: str = "doc_id", text: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, held, by=None, vocabulary: str | None = None, id: str = "doc_id", text: str = "text", classes: int = CLASSES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each text.
 
-    held is the condition for a row not to be learned from, by an optional column of training classes.
+    held is the condition for a row not to be learned from, by an optional column of training classes; the
+    `classes` most frequent ones have a component of the mixture each, the others share one.
     """
     spark = docs.sparkSession
     space = Workspace(spark)
     held = F.coalesce(held, F.lit(False))
-    docs, k_all, texts_of = _class_of(docs, by, held)
+    docs, k_all, texts_of = _class_of(docs, by, held, classes)
     docs = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"), "class")
     words = space.table(count_words(docs, k_all), "words")
     c_k = [F.col(f"c{k}") for k in range(k_all)]
@@ -149,25 +153,23 @@ def score_texts(docs: DataFrame, held, by=None, vocabulary: str | None = None, i
     p_end = np.log10([texts_of[k] / (counts[k + 1][0] + texts_of[k]) for k in live]) if live else np.log10([0.5])
     base_end = math.log10((texts + 0.1) / below)
 
-    def scores(c: np.ndarray, of: np.ndarray, lattice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of base and of each used class; c: counts, of: counts by class, lattice: natural logs by class."""
-        with np.errstate(divide="ignore"):
-            terms = lattice + np.log(share)
-        top = terms.max(axis=1)
-        sub = (top + np.log(np.exp(terms - top[:, None]).sum(axis=1))) / math.log(10)
-        if counts[0][0]:
-            m = counts[0][0]
-            sub = _add(np.maximum(c - d[0], 0) / m, sub + math.log10(d[0] * counts[0][1] / m))
+    log = lambda x: np.log(np.maximum(x, 0), where=np.asarray(x) > 0, out=np.full(np.shape(x), -np.inf))
+    m = counts[0][0]
+    enter = log(share) + (math.log(d[0] * counts[0][1] / m) if m else 0.0)
+
+    def scores(words: list[str], c: np.ndarray, of: np.ndarray, lattice: BatchLattice) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of base and of each used class; c: counts, of: counts by class."""
+        inner = lattice.marginal(words, log((c - d[0]) / max(m, 1)), enter)
         out = np.empty((len(c), len(used)))
         for j, k in enumerate(used):
             n = counts[k + 1][0] + texts_of[k]
             if not live:
-                out[:, j] = sub + math.log10(0.5)
+                out[:, j] = inner + math.log(0.5)
             elif counts[k + 1][0]:
-                out[:, j] = _add(np.maximum(of[:, k] - d[k + 1], 0) / n, sub + math.log10(d[k + 1] * counts[k + 1][1] / n))
+                out[:, j] = log_sums([log((of[:, k] - d[k + 1]) / n), inner + math.log(d[k + 1] * counts[k + 1][1] / n)])
             else:
-                out[:, j] = sub + math.log10(1 / (n + 1))
-        return np.log10((c + 0.1) / below), out
+                out[:, j] = inner + math.log(1 / (n + 1))
+        return np.log10((c + 0.1) / below), out / math.log(10)
 
     lp = [f"lp{j}" for j in range(len(used))]
 
@@ -175,7 +177,7 @@ def score_texts(docs: DataFrame, held, by=None, vocabulary: str | None = None, i
         lattice = BatchLattice(vocab, models)
         for b in gathered(batches, STEP_WORDS):
             of = np.column_stack([b[f"c{k}"].to_numpy() for k in range(k_all)])
-            base, out = scores(of.sum(axis=1), of, lattice.log_probabilities(_texts(b["word"])))
+            base, out = scores(_texts(b["word"]), of.sum(axis=1), of, lattice)
             yield pa.RecordBatch.from_arrays([b["word"], b["n"], pa.array(of.sum(axis=1) > 0), pa.array(base), *[pa.array(x) for x in out.T.copy()]], ["word", "n", "seen", "base", *lp])
 
     table = space.table(words.mapInArrow(weigh, "word binary, n long, seen boolean, base double, " + ", ".join(f"{x} double" for x in lp)), "weights")
@@ -219,13 +221,6 @@ def score_texts(docs: DataFrame, held, by=None, vocabulary: str | None = None, i
     return sums.select("doc_id", "held_out", F.col("n").alias("n_tokens"), F.round("known").cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), score.alias("score"))
 
 
-def _add(p: np.ndarray, log: np.ndarray) -> np.ndarray:
-    """log10(p + 10 ** log), right where 10 ** log is too small for a double."""
-    with np.errstate(divide="ignore"):
-        a = np.log10(p)
-    return np.where(p > 0, np.maximum(a, log) + np.log10(1 + 10.0 ** -np.abs(np.where(p > 0, a, log) - log)), log)
-
-
 def _frequency_bound(table: DataFrame) -> int:
     """A count that at most FREQUENT words exceed, from the histogram of counts."""
     above, bound = 0, 0

@@ -178,6 +178,61 @@ def test_lm_base_score_by_brute_force(spark, sf, texts):
     assert len(got) == len(texts)
 
 
+def segmentations(model, word, at=-1):
+    """Probability of word from at on, by walking every segmentation; -1: before the initial piece."""
+    if at == len(word):
+        return math.exp(model.stop)
+    total = 0.0
+    if at < 0:
+        return sum(math.exp(lp) * segmentations(model, word, len(p)) for p, lp in model.initial.items() if word.startswith(p))
+    for end in range(at + 1, len(word) + 1):
+        if word[at:end] in model.further:
+            total += math.exp(model.further[word[at:end]]) * segmentations(model, word, end)
+    if word[at] not in model.further:
+        total += math.prod(math.exp(model.of_bytes[b]) for b in word[at].encode()) * segmentations(model, word, at + 1)
+    return total
+
+
+@pytest.mark.parametrize("classes", [7, 1])
+def test_lm_score_by_brute_force(spark, monkeypatch, classes):
+    """Scores equal the sum over classes of the product of the words' sums over all segmentations."""
+    rows = [(1, "the old cat sat on the mat", "en"), (2, "the cat and the dog", "en"), (3, "le chat est sur la table", "fr"), (4, "le chien et le chat", "fr"), (5, "ein hund", "de"), (11, "THE unseen dogcat le 木", "fr"), (12, "", "en"), (13, None, None), (14, "catcat catcat", "de")]
+    held = {11, 12, 14}
+    models, fit = [], lm.fit_pieces
+    monkeypatch.setattr(lm, "fit_pieces", lambda *a, **k: models.append(fit(*a, **k)) or models[-1])
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in lm.score_texts(df, F.col("doc_id").isin(*held), F.col("lang"), classes=classes).collect()}
+    split = lambda t: (t or "").lower().split()
+    names = sorted({g or "" for d, _, g in rows if d not in held}, key=lambda g: (-sum((x or "") == g and d not in held for d, _, x in rows), g))[:classes]
+    of = {d: names.index(g or "") if (g or "") in names else len(names) for d, _, g in rows}
+    k = len(names) + 1
+    c = [Counter(w for d, t, _ in rows if d not in held and of[d] == z for w in split(t)) for z in range(k)]
+    texts = [sum(of[d] == z for d, _, _ in rows if d not in held) for z in range(k)]
+    every = sum(c, Counter())
+
+    def discount(x):
+        n = Counter(x.values())
+        return n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+
+    types = sum(len(x) for x in c)
+
+    def word(w, z):
+        sub = sum(len(x) / types * segmentations(m, w) for x, m in zip(c, models[0]))
+        m, n = sum(every.values()), sum(c[z].values()) + texts[z]
+        q = max(every[w] - discount(every), 0) / m + discount(every) * len(every) / m * sub
+        return max(c[z][w] - discount(c[z]), 0) / n + discount(c[z]) * len(c[z]) / n * q if c[z] else q / (n + 1)
+
+    for d, t, _ in rows:
+        want = sum(texts[z] / sum(texts) * math.prod(word(w, z) for w in split(t)) * texts[z] / (sum(c[z].values()) + texts[z]) for z in range(k) if texts[z])
+        assert abs(got[d].score - math.log10(want)) < 1e-9 * max(1, abs(got[d].score)), (d, got[d].score, math.log10(want))
+
+
+def test_lm_scores_held_out_texts_well(spark):
+    """Above the base, which gives no probability to how an unknown word is spelled, once there are words to learn from."""
+    s = lm.query(spark, "/root/testdata/sf0.1").filter("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert s[0] / s[2] > s[1] / s[2]
+
+
 def test_lm_of_odd_rows(odd, empty, odd_rows):
     got = lm.score_texts(odd, F.col("doc_id") == 9, F.col("lang")).collect()
     assert len(got) == len(odd_rows) and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in got)

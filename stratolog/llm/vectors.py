@@ -2,15 +2,19 @@
 
 Two codebooks, each fitted to one half of a bounded sample of unit vectors, form a product grid, and every
 vector is indexed in its cell. A vector looks for its neighbours cell by cell in the order of a lower
-bound of the distance to each cell, up to a reach that on a sample of queries, compared with all vectors by
-brute force, finds the target share of their links. Cosines are then computed in double precision.
+bound of the distance to each cell, up to a reach; of two cells, vectors of the first look into the second. On
+a sample of queries, compared with all vectors by brute force, the reach is set such that the target share of
+their links is found. Where the queries have too few links to tell, or `exact` is asked for, the reach is the
+distance that the similarity allows, and no link is missed. Cosines are computed in double precision.
 
 Equal vectors form a class that is compared once. A cell with many vectors or visitors is dealt out as a
 grid of blocks, and a block returns counts and a spanning forest, never its pairs.
 
 Vectors that are null, empty or zero, or hold a null or non-finite component, link with nothing; vectors of
 different lengths don't link. A null vec_id links with nothing and has a null component. Rows of one vec_id
-with equal vectors are copies that link with each other. Other columns are ignored.
+with equal vectors are copies that link with each other; with other vectors they are vectors of their own
+that share an id. A cosine that is the threshold but for rounding may fall on either side. An empty table
+gives an empty one. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,9 +30,11 @@ from stratolog.llm.components import components
 from stratolog.llm.shared import Workspace
 
 SIMILARITY = 0.95
-#: Vectors that the codebooks are fitted to, at most; queries that set the reach.
-SAMPLE, QUERIES = 20_000, 256
+#: Vectors that the codebooks are fitted to, at most; queries that set the reach, and the links of theirs that suffice.
+SAMPLE, QUERIES, ENOUGH = 20_000, 512, 200
 TARGET = 0.995
+#: Bits of a codebook at most: the grid has 4 ** 10 cells at most, which each task holds counts of.
+BITS = 10
 #: Vectors and visitors of a block.
 BLOCK = 512
 #: Steps of the histogram of bounds, up to the distance that the similarity allows.
@@ -108,10 +114,10 @@ class Grid:
         return row[order], cell[order]
 
 
-def _links_in_block(ids: np.ndarray, mult: np.ndarray, x: np.ndarray, size: np.ndarray, asks: np.ndarray, least: float):
-    """(id, links, root) of the block's linked ids; asks marks visitors, which look for larger ids only."""
+def _links_in_block(ids: np.ndarray, mult: np.ndarray, x: np.ndarray, size: np.ndarray, asks: np.ndarray, own: np.ndarray, least: float):
+    """(id, links, root) of the block's linked ids; asks marks visitors, which in their own cell look for larger ids only."""
     q, r = np.flatnonzero(asks), np.flatnonzero(~asks)
-    near = (x[q] @ x[r].T >= least) & (ids[q][:, None] < ids[r][None, :]) & (size[q][:, None] == size[r][None, :])
+    near = (x[q] @ x[r].T >= least) & (~own[q][:, None] | (ids[q][:, None] < ids[r][None, :])) & (size[q][:, None] == size[r][None, :])
     a, b = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
     near = near[np.ix_(a, b)]
     ia, ib = ids[q[a]], ids[r[b]]
@@ -126,7 +132,7 @@ def _links_in_block(ids: np.ndarray, mult: np.ndarray, x: np.ndarray, size: np.n
     return np.concatenate((ia, ib)), np.concatenate((near @ mult[r[b]], mult[q[a]] @ near)).astype(np.int64), np.concatenate((la, lb))
 
 
-def link_vectors(vectors: DataFrame, similarity: float = SIMILARITY, target: float = TARGET) -> DataFrame:
+def link_vectors(vectors: DataFrame, similarity: float = SIMILARITY, target: float = TARGET, exact: bool = False) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row of vectors (vec_id, embedding)."""
     spark = vectors.sparkSession
     space = Workspace(spark)
@@ -134,56 +140,52 @@ def link_vectors(vectors: DataFrame, similarity: float = SIMILARITY, target: flo
     sound = F.coalesce((F.size(e) > 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0), F.lit(False)) & F.col("vec_id").isNotNull()
     rows = vectors.select("vec_id", F.when(sound, e).alias("embedding"))
     valid = rows.filter(F.col("embedding").isNotNull())
-    reps = space.table(valid.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult")), "reps")
+    # classes are numbered once they are written, as two of them may have one smallest vec_id
+    classes = valid.groupBy("embedding").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("mult"))
+    reps = space.table(classes.withColumn("rep", F.monotonically_increasing_id()), "reps")
     total, width = reps.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
     none = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if not total:
         return none
     radius = 2 - 2 * similarity
-    sample = reps.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("embedding").toArrow()["embedding"].combine_chunks()
+    sample = reps.orderBy(F.xxhash64("low"), "low", F.xxhash64("embedding")).limit(SAMPLE).select("embedding").toArrow()["embedding"].combine_chunks()
     fit = unit_rows(sample, width)
-    k = int(min(len(fit), 2 ** min(8, max(1, round(math.log2(math.sqrt(total) / 4 + 1))))))
+    k = int(min(len(fit), 2 ** min(BITS, max(1, round(math.log2(math.sqrt(total) / 4 + 1))))))
     grid, asked = Grid(fit, k), fit[:QUERIES]
     shared = spark.sparkContext.broadcast((grid, asked))
     bounds_asked = grid.place(asked)[1]
 
     def measure(batches):
+        """Rows (q, step, n) of the queries' links by bound, and with q = -1 of the vectors by cell."""
         g, queries = shared.value
-        hist = np.zeros((len(queries), STEPS + 1), np.int64)
+        hist, cells = np.zeros((len(queries), STEPS + 1), np.int64), np.zeros(k * k, np.int64)
         for b in batches:
             x = unit_rows(b["embedding"], width)
             cell, _ = g.place(x)
+            cells += np.bincount(cell, minlength=k * k)
             q, r = np.nonzero(queries @ x.T >= similarity)
             low = bounds_asked[0][q, cell[r] // g.k] + bounds_asked[1][q, cell[r] % g.k]
             np.add.at(hist, (q, np.minimum(np.ceil(low / radius * STEPS), STEPS).astype(np.int64)), 1)
         q, s = np.nonzero(hist)
-        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(s), pa.array(hist[q, s])], ["q", "step", "n"])
-
-    got = reps.select("embedding").mapInArrow(measure, "q long, step long, n long").groupBy("q", "step").agg(F.sum("n").alias("n")).toPandas()
-    hist = np.zeros((len(asked), STEPS + 1))
-    np.add.at(hist, (got["q"].to_numpy(), got["step"].to_numpy()), got["n"].to_numpy())
+        c = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((q, np.full(len(c), -1)))), pa.array(np.concatenate((s, c))), pa.array(np.concatenate((hist[q, s], cells[c])))], ["q", "step", "n"])
+
+    # k * k + QUERIES * STEPS rows at most
+    got = reps.select("embedding").mapInArrow(measure, "q long, step long, n long").groupBy("q", "step").agg(F.sum("n").alias("n")).toPandas().to_numpy(np.int64)
+    held, cells = np.zeros(k * k, np.int64), got[got[:, 0] < 0]
+    held[cells[:, 1]] = cells[:, 2]
+    hist, got = np.zeros((len(asked), STEPS + 1)), got[got[:, 0] >= 0]
+    hist[got[:, 0], got[:, 1]] = got[:, 2]
     hist[:, 0] -= 1  # each query finds itself
-    n = hist.sum(axis=1)
-    found = np.cumsum((hist[n > 0] / n[n > 0][:, None]).mean(axis=0)) if (n > 0).any() else np.ones(STEPS + 1)
-    # beyond what the sample needs, half as far again, and a fifth of the radius at least
-    reach = radius * max(0.2, 1.5 * int(np.argmax(found >= target - 1e-9)) / STEPS)
-
-    def place(batches):
-        g, _ = shared.value
-        for b in batches:
-            cell, _ = g.place(unit_rows(b["embedding"], width))
-            yield pa.RecordBatch.from_arrays([pa.array(cell)], ["cell"])
-
-    counts = reps.select("embedding").mapInArrow(place, "cell long").groupBy("cell").count().collect()  # k * k rows at most
-    held = np.zeros(k * k, np.int64)
-    held[[r["cell"] for r in counts]] = [r["count"] for r in counts]
+    reach = set_reach(hist, radius, 1.0 if exact else target)
 
     def visited(batches):
         g, _ = shared.value
         n = np.zeros(k * k, np.int64)
         for b in batches:
-            _, bounds = g.place(unit_rows(b["embedding"], width))
-            n += np.bincount(g.visits(bounds, reach, held > 0)[1], minlength=k * k)
+            cell, bounds = g.place(unit_rows(b["embedding"], width))
+            row, at = g.visits(bounds, reach, held > 0)
+            n += np.bincount(at[at >= cell[row]], minlength=k * k)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["cell", "n"])
 
@@ -192,15 +194,18 @@ def link_vectors(vectors: DataFrame, similarity: float = SIMILARITY, target: flo
         asks_of[r["cell"]] = r["n"]
     by_rows, by_asks = -(-held // BLOCK), -(-asks_of // BLOCK)
 
+    kind = np.float32 if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64
+
     def deal(batches):
         g, _ = shared.value
         for b in batches:
-            x, ids = unit_rows(b["embedding"], width), b["rep"].to_numpy()
-            size = np.diff(b["embedding"].offsets.to_numpy())
-            cell, bounds = g.place(x)
+            ids, size = b["rep"].to_numpy(), np.diff(b["embedding"].offsets.to_numpy())
+            cell, bounds = g.place(unit_rows(b["embedding"], width))
             row, at = g.visits(bounds, reach, held > 0)
+            fine = at >= cell[row]  # each pair of cells is looked through from one side
+            row, at = row[fine], at[fine]
             mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            own_r, own_q = mixed[np.arange(len(ids))] % np.maximum(by_rows[cell], 1).astype(np.uint64), mixed[row] % np.maximum(by_asks[at], 1).astype(np.uint64)
+            own_r, own_q = mixed % np.maximum(by_rows[cell], 1).astype(np.uint64), mixed[row] % np.maximum(by_asks[at], 1).astype(np.uint64)
             parts = []
             for who, where, mine, times, asks in ((np.arange(len(ids)), cell, own_r, by_asks[cell], False), (row, at, own_q, by_rows[at], True)):
                 rep = np.repeat(np.arange(len(who)), times)
@@ -208,29 +213,46 @@ def link_vectors(vectors: DataFrame, similarity: float = SIMILARITY, target: flo
                 block = mine[rep].astype(np.int64)
                 parts.append((who[rep], where[rep], other if asks else block, block if asks else other, np.full(len(rep), asks)))
             who, where, r, q, asks = (np.concatenate(c) for c in zip(*parts))
+            # vectors travel as they came, and are made units where they are compared
+            values = b["embedding"].to_pylist()
+            raw = [np.array(v, kind).tobytes() for v in values]
             for lo in range(0, len(who), 20_000):
                 w = who[lo : lo + 20_000]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(where[lo : lo + 20_000]), pa.array(r[lo : lo + 20_000]), pa.array(q[lo : lo + 20_000]), pa.array(asks[lo : lo + 20_000]), pa.array(ids[w]), b["mult"].take(pa.array(w)), pa.array(size[w], pa.int32()), pa.array([v.tobytes() for v in x[w]], pa.binary())],
-                    ["cell", "r", "q", "asks", "id", "mult", "size", "x"],
+                    [pa.array(where[lo : lo + 20_000]), pa.array(r[lo : lo + 20_000]), pa.array(q[lo : lo + 20_000]), pa.array(asks[lo : lo + 20_000]), pa.array(cell[w] == where[lo : lo + 20_000]), pa.array(ids[w]), b["mult"].take(pa.array(w)), pa.array(size[w], pa.int32()), pa.array([raw[i] for i in w.tolist()], pa.binary())],
+                    ["cell", "r", "q", "asks", "own", "id", "mult", "size", "x"],
                 )
 
     def block(table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
-        x = np.frombuffer(b"".join(t["x"].to_pylist()), np.float64).reshape(len(t), width)
-        ids, links, root = _links_in_block(t["id"].to_numpy(), t["mult"].to_numpy(), x, t["size"].to_numpy(), t["asks"].to_numpy(), similarity)
+        size = t["size"].to_numpy()
+        flat = pa.array(np.frombuffer(b"".join(t["x"].to_pylist()), kind))
+        x = unit_rows(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), flat), width)
+        ids, links, root = _links_in_block(t["id"].to_numpy(), t["mult"].to_numpy(), x, size, t["asks"].to_numpy(), t["own"].to_numpy(), similarity)
         return pa.table({"id": pa.array(ids), "n": pa.array(links), "root": pa.array(root)})
 
-    dealt = reps.mapInArrow(deal, "cell long, r long, q long, asks boolean, id long, mult long, size int, x binary")
+    dealt = reps.mapInArrow(deal, "cell long, r long, q long, asks boolean, own boolean, id long, mult long, size int, x binary")
     found = space.table(dealt.groupBy("cell", "r", "q").applyInArrow(block, "id long, n long, root long"), "found")
     label = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), space)
-    linked = space.table(found.groupBy("id").agg(F.sum("n").alias("n")).join(label, "id").withColumnRenamed("id", "rep"), "linked")
-    classes = reps.join(linked, "rep", "left").select("embedding", "rep", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    linked = found.groupBy("id").agg(F.sum("n").alias("n")).join(label, "id").join(reps.select(F.col("rep").alias("id"), "low"), "id")
+    smallest = linked.groupBy("component").agg(F.min("low").alias("component_id"))
+    linked = space.table(linked.join(smallest, "component").select(F.col("id").alias("rep"), "n", "component_id"), "linked")
+    classes = reps.join(linked, "rep", "left").select("embedding", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component_id", "low").alias("component_id"))
     out = rows.join(space.table(classes, "classes"), "embedding", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
 
 
+def set_reach(hist: np.ndarray, radius: float, target: float) -> float:
+    """The squared bound up to which cells are visited, from each query's links by step of their bound."""
+    if target >= 1 or hist.sum() < ENOUGH:
+        return radius
+    n = hist.sum(axis=1)
+    found = np.cumsum((hist[n > 0] / n[n > 0][:, None]).mean(axis=0))
+    # beyond what the sample needs, half as far again, and a fifth of the radius at least
+    return radius * min(1.0, max(0.2, 1.5 * int(np.argmax(found >= target - 1e-9)) / STEPS))
+
+
 def query(spark: SparkSession, sf: str) -> DataFrame:
     return link_vectors(spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding"))
 

@@ -286,9 +286,26 @@ def test_vectors_by_brute_force(spark):
     assert all(got[i].n_links <= n for i, n in enumerate(near_.sum(axis=1)))
     assert all(got[5000 + i].n_links == 0 and got[5000 + i].kept for i in range(len(bad)))
     assert got[None].component_id is None and got[900].component_id == 0 and not got[900].kept
+    again = {r.vec_id: r for r in vectors.link_vectors(df, exact=True).collect()}
+    assert [again[i].n_links for i in range(len(x))] == near_.sum(axis=1).tolist()
     assert vectors.link_vectors(df.limit(0)).count() == 0 and vectors.link_vectors(df.filter(F.col("vec_id") >= 5000).filter("vec_id < 5006")).count() == 6
 
 
+def test_vectors_that_share_an_id(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, a), (7, b), (7, a), (9, [0.0, 2.0, 0.1]), (9, [0.0, 0.0, 1.0]), (3, [3.0, 0.0, 0.0])]
+    for kind in ("float", "double"):
+        got = sorted(tuple(r) for r in vectors.link_vectors(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")).collect())
+        assert got == sorted([(1, 2, 1, True), (7, 1, 7, True), (7, 2, 1, False), (9, 1, 7, False), (9, 0, 9, True), (3, 2, 1, False)])
+
+
+def test_reach_is_whole_where_the_sample_can_not_tell():
+    few, many = np.zeros((3, vectors.STEPS + 1)), np.zeros((3, vectors.STEPS + 1))
+    few[0, 5], many[:, 10], many[0, 190] = 3, 1000, 1
+    assert vectors.set_reach(few, 0.1, 0.995) == 0.1 and vectors.set_reach(many, 0.1, 1.0) == 0.1
+    assert math.isclose(vectors.set_reach(many, 0.1, 0.995), 0.02)
+
+
 # rows with null or repeated ids
 @pytest.fixture(scope="module")
 def rows_alike():

@@ -6,17 +6,21 @@ import atexit
 import os
 import tempfile
 import uuid
+from typing import ClassVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one, set as that, only where it is unset."""
+    """The folder of spark.checkpoint.dir; where it is unset, a temporary one, set as that, in local mode only."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="stratolog-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -42,13 +46,18 @@ def prepare(spark: SparkSession) -> None:
 class Workspace:
     """Intermediate tables as Parquet in the shared folder, which cut lineage and outlive executors.
 
-    They are deleted by close(), or when the driver's interpreter ends: lazy results still read them.
+    They are deleted by close(), by close_workspaces(), or when the driver's interpreter ends: lazy results
+    still read them until they have been written or collected.
     """
 
+    opened: ClassVar[list[Workspace]] = []
+
     def __init__(self, spark: SparkSession):
         prepare(spark)
         self.spark, self.at = spark, f"{shared_folder(spark)}/stratolog-{uuid.uuid4().hex}"
-        atexit.register(self.close)
+        if not self.opened:
+            atexit.register(close_workspaces)
+        self.opened.append(self)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and return it as read from there; the shuffle files of its plan go once it is written."""
@@ -76,12 +85,34 @@ class Workspace:
             pass
 
 
+def close_workspaces() -> None:
+    """Delete the intermediate tables of all operators so far; call it once their results are written."""
+    while Workspace.opened:
+        Workspace.opened.pop().close()
+
+
 def set_aside(docs: DataFrame, *used: str) -> tuple[DataFrame, list[str]]:
     """docs with all columns but the used ones renamed out of an operator's way, and the names."""
     names = [c if c in used else f"_x{i}" for i, c in enumerate(docs.columns)]
     return docs.toDF(*names), names
 
 
+def made_apart(docs: DataFrame, used: tuple[str, ...], made: tuple[str, ...], make) -> DataFrame:
+    """make(docs) with the columns `made` behind those of docs, whatever the others are called.
+
+    Columns that aren't used are renamed while make runs. One that has the name of a column made gives way to it.
+    """
+    inner, names = set_aside(docs, *used)
+    taken = {c.lower() for c in made}
+    stay = [(n, c) for n, c in zip(names, docs.columns) if c.lower() not in taken]
+    return make(inner).select(*[n for n, _ in stay], *made).toDF(*[c for _, c in stay], *made)
+
+
+def with_fields(docs: DataFrame, **fields: T.DataType) -> T.StructType:
+    """The schema of docs and these fields behind it."""
+    return T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema] + [T.StructField(k, t) for k, t in fields.items()])
+
+
 #: Bytes of text that one step of a worker handles at once; a longer text makes a step of its own.
 STEP_BYTES = 2 << 20
 

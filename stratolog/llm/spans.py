@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratolog.llm.shared import sliced, text_bytes
+from stratolog.llm.shared import sliced, text_bytes, with_fields
 
 
 def merge_spans(start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -21,6 +21,15 @@ def merge_spans(start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.n
     return s[first], e[np.concatenate((np.flatnonzero(first)[1:] - 1, [len(s) - 1]))] if len(s) else e
 
 
+def joined(d, r, s, n):
+    """The spans (document, row key, start, length) with those of a row that touch as one."""
+    order = np.lexsort((s, r, d))
+    d, r, s, n = d[order], r[order], s[order], n[order]
+    end = s + n  # ends of a row's spans are in the order of their starts
+    new = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (r[1:] != r[:-1]) | (s[1:] > end[:-1]))))
+    return d[new], r[new], s[new], end[np.append(new[1:], len(s)) - 1] - s[new]
+
+
 def cut(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
     if not len(starts):
         return raw
@@ -68,7 +77,7 @@ def removed_text(marked: DataFrame, least: int = 1) -> DataFrame:
     A character that is cut in part goes whole. Null texts and texts without spans stay as they are.
     """
     columns = [c for c in marked.columns if c != "spans"]
-    schema = marked.select(*columns).schema.simpleString()[len("struct<") : -1]
+    schema = with_fields(marked.select(*columns))
 
     def run(batches):
         for b in sliced(batches, "text"):

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from stratolog.llm.runindex import RunIndex
 from stratolog.llm.shared import Workspace, keyed, set_aside, sliced, text_bytes
 from stratolog.llm.shingles import mix
-from stratolog.llm.spans import pack_spans, removal_report, removed_text, span_arrays
+from stratolog.llm.spans import joined, pack_spans, removal_report, removed_text, span_arrays
 
 LENGTH, K = 50, 24
 #: Bytes of a text whose hashes are held at once; the parts of a longer text overlap by a window.
@@ -399,15 +399,6 @@ class _Fold:
             yield d[e], r[e], s[e] + np.repeat(offset[cut], places), np.repeat(n, places) + LENGTH - 1
 
 
-def _joined(d, r, s, n):
-    """The spans with those of a row that touch as one."""
-    order = np.lexsort((s, r, d))
-    d, r, s, n = d[order], r[order], s[order], n[order]
-    end = s + n  # ends of a row's contexts are in the order of their starts
-    new = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (r[1:] != r[:-1]) | (s[1:] > end[:-1]))))
-    return d[new], r[new], s[new], end[np.append(new[1:], len(s)) - 1] - s[new]
-
-
 def _counted(n: np.ndarray) -> np.ndarray:
     """0 to n - 1 for each n."""
     return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
@@ -450,7 +441,7 @@ def indexed_matches(docs: DataFrame, ranges: int, hot: np.ndarray, shard: int =
             send = np.flatnonzero(~done)
             yield _rows(_range_of(h[send], ranges), h[send], d[send], r[send], s[send], n[send], strings.take(pa.array(send)))
             if done.any():
-                d, r, s, n = _joined(d[done], r[done], s[done], n[done])
+                d, r, s, n = joined(d[done], r[done], s[done], n[done])
                 yield _rows(-1 - ((d ^ r) % max(ranges, 1)), s, d, r, s, n)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -147,6 +147,21 @@ def test_spans_merge_and_cut():
 
 
 # long matches
+def long_rest(rows, n=50):
+    """What is left of each document, by doc_id."""
+    first = {}
+    for d, t in rows:
+        b = (t or "").encode()
+        for i in range(len(b) - n + 1):
+            first[b[i : i + n]] = min(first.get(b[i : i + n], d), d)
+    out = {}
+    for d, t in rows:
+        b = (t or "").encode()
+        gone = {j for i in range(len(b) - n + 1) if first[b[i : i + n]] < d for j in range(i, i + n)}
+        out[d] = bytes(c for j, c in enumerate(b) if j not in gone)
+    return out
+
+
 def brute_long(rows, n=50):
     first = {}
     for d, t in rows:
@@ -249,16 +264,57 @@ def test_gear_hash_by_rolling():
     assert chunks.gear_hashes(np.frombuffer(data, np.uint8)).tolist() == out
 
 
-def test_copied_passages_are_cut_and_first_ones_stay(spark, sf, texts, odd, odd_rows, empty):
-    got = {r.doc_id: r for r in chunks.query(spark, sf).collect()}
-    long = {d: (n, removed) for d, n, removed, _, _ in brute_long(texts, 50)}
-    assert len(got) == len(texts)
-    for d, (n, removed) in long.items():
-        assert got[d].n_bytes == n and got[d].n_removed <= removed + 2 * chunks.LONGEST
-        if not removed:
-            assert got[d].n_removed == 0
-        if removed >= 400:
-            assert got[d].n_removed > 0
+def plain_chunks(raw):
+    """Ends found byte by byte: the rolled hash is above all others within REACH on both sides."""
+    h, hashes = 0, []
+    for b in raw:
+        h = (h << 1) + int(chunks.GEAR[b]) & 0xFFFFFFFF
+        hashes.append(h)
+    at, reach = set(), chunks.REACH
+    for i in range(reach, len(raw) - reach):
+        if hashes[i] > max(hashes[i - reach : i]) and hashes[i] > max(hashes[i + 1 : i + reach + 1]):
+            at.add(i + 1)
+    move = lambda e: next((x for x in range(e, e + 3) if x >= len(raw) or raw[x] & 0xC0 != 0x80), e + 3)
+    ends = sorted({move(e) for e in at if move(e) < len(raw)} | {len(raw)})
+    more = {move(x) for s, e in zip([0, *ends], ends) for x in range(s + chunks.LONGEST, e, chunks.LONGEST)}
+    return sorted({*ends, *more}) if raw else []
+
+
+def brute_chunks(rows):
+    owner, cut_of = {}, []
+    for d, t in rows:
+        raw = (t or "").encode()
+        e = plain_chunks(raw)
+        cut_of.append((d, raw, list(zip([0, *e], e))))
+        for lo, hi in cut_of[-1][2]:
+            owner[raw[lo:hi]] = min(owner.get(raw[lo:hi], d), d)
+    out = []
+    for d, raw, parts in cut_of:
+        runs = []
+        for lo, hi in parts:
+            if owner[raw[lo:hi]] < d:
+                if runs and runs[-1][1] == lo:
+                    runs[-1][1] = hi
+                else:
+                    runs.append([lo, hi])
+        runs = [x for x in runs if x[1] - x[0] >= chunks.LEAST]
+        gone = {j for lo, hi in runs for j in range(lo, hi)}
+        out.append((d, len(raw), len(gone), len(runs), hashlib.sha256(bytes(c for j, c in enumerate(raw) if j not in gone)).hexdigest()))
+    return sorted(out)
+
+
+def test_copied_chunks_by_brute_force(spark, sf, texts, monkeypatch):
+    want = brute_chunks(texts)
+    assert sum(x[2] for x in want) > 10_000
+    assert sorted(map(tuple, chunks.query(spark, sf).collect())) == want
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(7)
+    assert sorted(map(tuple, removal_report(chunks.mark_copies(df), chunks.LEAST).collect())) == want
+
+
+def test_copied_chunks_of_odd_rows(spark, odd, odd_rows, empty):
+    rows = [(r[0], r[1]) for r in odd_rows if r[0] is not None]
+    got = removal_report(chunks.mark_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), chunks.LEAST)
+    assert sorted(map(tuple, got.collect())) == brute_chunks(rows)
     out = chunks.drop_copies(odd)
     assert out.columns == odd.columns and out.count() == len(odd_rows)
     by = {r.doc_id: r.text for r in out.collect() if r.doc_id}

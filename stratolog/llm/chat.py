@@ -82,7 +82,7 @@ def query(spark: SparkSession, sf: str) -> DataFrame:
     """Every row of conversations as one message, in the order of turn, role and text."""
     said = "\\### Assistant: </turn> ok"
     rows = spark.read.schema("conv_id long, turn long, role string, text string").parquet(f"{sf}/conversations.parquet")
-    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     events = rows.unionByName(more).select("conv_id", F.row_number().over(order).alias("message"), F.lit("delta").alias("kind"), "role", "text").withColumn("seq", F.col("message"))
     back = read_back(render(fold_events(events)))

@@ -6,8 +6,8 @@ counted once over the whole table. Rests are then dealt to shards of bounded siz
 centroids, fitted to a bounded sample of projected term vectors, gives each rest a leaf, and a shard is a
 run of neighbouring leaves, or a part of a leaf that is too large for one. So related rests meet wherever
 in the input they lie. In a shard, the longest unused rest seeds a window; an inverted index with BM25
-impacts returns its unused neighbours, which fill the window greedily, the last one being cut where the
-window ends, and what is cut off stays in the index. When a shard's rests run out, the last window is
+impacts returns its unused neighbours, the best NEIGHBOURS by the seed's QUERY_TERMS heaviest terms and then the
+next ones, which fill the window greedily, the last one being cut where the window ends, and what is cut off stays in the index. When a shard's rests run out, the last window is
 divided into sequences of powers of two, so no sequence is padded.
 
 Null and empty text has one token, the end. Repeated rows are packed each by itself. An empty table gives

@@ -9,7 +9,8 @@ The lattice is cut where no piece can reach across: before a space mark that fol
 Chunks of one length share array operations.
 
 Null and empty text have no pieces, and decode to empty text. Rows with equal key and text get equal
-pieces. A null key is a key of its own. Other columns pass through encode and decode.
+pieces. A null key is a key of its own. A text of any length is coded whole, chunk by chunk. An empty table gives
+an empty one. Other columns pass through encode and decode, but for one that has the result's name.
 """
 
 from __future__ import annotations
@@ -23,9 +24,11 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from stratolog.llm.lattice import SPACE, BatchLattice, PieceVocab, log_sum
-from stratolog.llm.shared import prepare, sliced
+from stratolog.llm.shared import made_apart, prepare, sliced, with_fields
+from stratolog.llm.shingles import mix
 
 VOCABULARY = "piece_bpe_32k.model"
 SHARPNESS = 1.0
@@ -38,13 +41,6 @@ def _position(j: int) -> np.uint64:
     return np.uint64(j * _AT & (1 << 64) - 1)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """splitmix64's finalizer on unsigned 64-bit integers."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class Sampler(BatchLattice):
     """Encodes and decodes batches of texts; one per worker."""
 
@@ -93,10 +89,10 @@ class Sampler(BatchLattice):
         if not which:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
         which = np.array(which, np.int32)
-        seeds = _mix(np.array([_NULL_KEY if k is None else k & (1 << 64) - 1 for k in keys], np.uint64))
+        seeds = mix(np.array([_NULL_KEY if k is None else k & (1 << 64) - 1 for k in keys], np.uint64))
         first = np.cumsum(sizes) - sizes
         within = np.arange(len(which), dtype=np.int64) - np.repeat(first, sizes)
-        seed = _mix(np.repeat(seeds, sizes) + within.astype(np.uint64) * _STEP)
+        seed = mix(np.repeat(seeds, sizes) + within.astype(np.uint64) * _STEP)
         order = np.argsort(which, kind="stable")
         starts = np.searchsorted(which[order], np.arange(len(index) + 1))
         counts, parts = np.zeros(len(which), np.int64), []
@@ -155,7 +151,7 @@ class Sampler(BatchLattice):
             if not len(here):
                 continue
             w = word[here]
-            left = (_mix(seed[here] + _position(j)) >> np.uint64(11)).astype(np.float64) * 2.0**-53 * alpha[j][w]
+            left = (mix(seed[here] + _position(j)) >> np.uint64(11)).astype(np.float64) * 2.0**-53 * alpha[j][w]
             todo = np.ones(len(here), bool)
             for i, idx, p in ends[j]:
                 own = p[w]
@@ -190,7 +186,7 @@ class Sampler(BatchLattice):
         out, j = [], len(chunk)
         while j:
             arcs = self._arcs_to(chunk, j)
-            u = float(_mix(np.array([seed], np.uint64) + _position(j))[0] >> np.uint64(11)) * 2.0**-53
+            u = float(mix(np.array([seed], np.uint64) + _position(j))[0] >> np.uint64(11)) * 2.0**-53
             for i, w, ids in arcs:
                 u -= math.exp(alpha[i] + w - alpha[j])
                 if u < 0:
@@ -220,8 +216,7 @@ def encode(docs: DataFrame, path: str | None = None, sharpness: float = SHARPNES
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(ids))
             yield pa.RecordBatch.from_arrays([*b.columns, lists], [*b.schema.names, out])
 
-    schema = docs.schema.simpleString()[len("struct<") : -1]
-    return docs.mapInArrow(run, f"{schema},{out}:array<int>" if schema else f"{out}:array<int>")
+    return made_apart(docs, (id, text), (out,), lambda inner: inner.mapInArrow(run, with_fields(inner, **{out: T.ArrayType(T.IntegerType())})))
 
 
 def decode(coded: DataFrame, path: str | None = None, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -235,8 +230,7 @@ def decode(coded: DataFrame, path: str | None = None, ids: str = "ids", out: str
             texts = [sampler.decode(x or []).decode("utf-8", "surrogatepass") for x in b[ids].to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, out])
 
-    schema = coded.schema.simpleString()[len("struct<") : -1]
-    return coded.mapInArrow(run, f"{schema},{out}:string")
+    return made_apart(coded, (ids,), (out,), lambda inner: inner.mapInArrow(run, with_fields(inner, **{out: T.StringType()})))
 
 
 def query(spark: SparkSession, sf: str) -> DataFrame:

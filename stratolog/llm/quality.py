@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratolog.llm.shared import set_aside
+from stratolog.llm.shared import made_apart, set_aside
 
 #: Common function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -99,6 +99,10 @@ def quality_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+#: Columns that quality_stats makes.
+STATS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "stop_words", "n_ended_lines", "mean_word_chars", "symbol_ratio", "repeat_share", "ended_line_share", "dup_line_share")
+
+
 def _fails(rules) -> Column:
     out = F.lit(False)
     for name, low, high in rules:
@@ -110,13 +114,17 @@ def _fails(rules) -> Column:
 
 
 def quality_verdict(docs: DataFrame, text: str = "text", thresholds=THRESHOLDS) -> DataFrame:
-    """docs with statistics, base_failed and kept.
+    """docs with statistics, base_failed and kept; a column that has the name of one of these gives way to it.
 
     kept holds a row number, which is always true: the optimizer doesn't move a filter on it below the
     projections, where it would write each statistic out again and again in the condition.
     """
-    out = quality_stats(docs, text).withColumn("base_failed", _fails([r for r in thresholds if r[0] in BASE]))
-    return out.withColumn("kept", ~_fails(thresholds) & (F.monotonically_increasing_id() >= 0))
+
+    def make(inner: DataFrame) -> DataFrame:
+        out = quality_stats(inner, text).withColumn("base_failed", _fails([r for r in thresholds if r[0] in BASE]))
+        return out.withColumn("kept", ~_fails(thresholds) & (F.monotonically_increasing_id() >= 0))
+
+    return made_apart(docs, (text,), (*STATS, "base_failed", "kept"), make)
 
 
 def quality_filter(docs: DataFrame, text: str = "text", thresholds=THRESHOLDS) -> DataFrame:

@@ -12,7 +12,8 @@ the other words of the grammar are fixed.
 
 Null and empty texts match nothing and get the lowest score. Equal texts get equal scores. An empty table
 or one without labels leaves the fixed lexicon. Null labels teach nothing; if a document is labelled twice,
-the larger label holds. Only id and text are looked at; other columns pass through toxicity_filter.
+the larger label holds. A text of any length is read whole. Only id and text are looked at; other columns pass
+through score_texts, but for one that has the result's name, and all through toxicity_filter.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from stratolog.llm.shared import Workspace, held_out, prepare, set_aside
+from stratolog.llm.shared import Workspace, held_out, made_apart, prepare, set_aside, with_fields
 
 #: Labelled rows that are learned from, at most.
 SAMPLE = 20_000
@@ -306,8 +308,7 @@ def score_texts(docs: DataFrame, model: ToxicityModel, text: str = "text", out:
             scores = [model.score(grammar.features(t or "")) for t in b[text].to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, out])
 
-    schema = docs.schema.simpleString()[len("struct<") : -1]
-    return docs.mapInArrow(run, f"{schema},{out}:double")
+    return made_apart(docs, (text,), (out,), lambda inner: inner.mapInArrow(run, with_fields(inner, **{out: T.DoubleType()})))
 
 
 def toxicity_filter(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

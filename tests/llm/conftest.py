@@ -1,7 +1,7 @@
 import pytest
 
 SF = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, score string, spans int, n_words string, kept string, _of long, lang string"
+SCHEMA = "doc_id long, text string, score string, spans int, n_words string, kept string, _of long, lang string, ids string, _words string, `a b` string, `x.y:z` string, Score int"
 
 
 @pytest.fixture(scope="session")
@@ -26,18 +26,23 @@ def odd_rows():
         10: "a" * 20_000,
         11: "\n".join(["The same line of words stands here."] * 60),
     }
-    rows = [(k, v, "s", k, "n", "k", 7, None) for k, v in texts.items()]
-    return [*rows, rows[4], rows[4], (None, passage, None, None, None, None, None, None), (None, None, None, None, None, None, None, None)]
+    rows = [(k, v, "s", k, "n", "k", 7, None, "i", "w", "b", "z", 3) for k, v in texts.items()]
+    return [*rows, rows[4], rows[4], (None, passage, *[None] * 11), (None, *[None] * 12)]
+
+
+def _frame(spark, rows):
+    # names that differ in case only can be had by position
+    return spark.createDataFrame(rows, SCHEMA.replace("Score int", "_last int")).toDF(*[x.strip(" `") for x in SCHEMA.replace(" string", "").replace(" long", "").replace(" int", "").split(",")])
 
 
 @pytest.fixture(scope="session")
 def odd(spark, odd_rows):
-    return spark.createDataFrame(odd_rows, SCHEMA).repartition(3).cache()
+    return _frame(spark, odd_rows).repartition(3).cache()
 
 
 @pytest.fixture(scope="session")
 def empty(spark):
-    return spark.createDataFrame([], SCHEMA)
+    return _frame(spark, [])
 
 
 @pytest.fixture(scope="session")

@@ -201,14 +201,29 @@ def near_components(docs: DataFrame, similarity: int = SIMILARITY, hub_rounds: i
     return _components(keyed(docs.select("doc_id", "text"), space), space, similarity, hub_rounds).drop("_row")
 
 
+def _numbers(sigs: DataFrame):
+    """A number for each class: the smallest doc_id, and for rows that share theirs one that no other row has.
+
+    So the hubs of a group are its smallest and largest doc_ids, of which the smallest is kept if they are copies.
+    """
+    low, high, odd = sigs.agg(F.coalesce(F.min("doc_id"), F.lit(0)), F.coalesce(F.max("doc_id"), F.lit(0)), F.coalesce(F.max("_row"), F.lit(0))).first()
+    if high + odd < 1 << 63:
+        own = F.lit(high) + F.col("_row")
+    elif low - odd >= -1 << 63:
+        own = F.lit(low) - F.col("_row")
+    else:  # ids of both ends: any numbers will do, once they are written
+        return F.monotonically_increasing_id()
+    return F.when(F.col("_row") == 0, F.col("doc_id")).otherwise(own)
+
+
 def _components(docs: DataFrame, space: Workspace, similarity: int, hub_rounds: int) -> DataFrame:
     """near_components of rows that are told apart by doc_id and _row."""
     spark = docs.sparkSession
     sigs = space.table(signatures(docs), "signatures")
     named = sigs.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    # a class is numbered once it is written, as two of them may have one smallest doc_id
     classes = named.groupBy("print").agg(F.min(F.struct("doc_id", "_row")).alias("low"), F.any_value("n").alias("n"), F.any_value("regs").alias("regs"))
-    reps = space.table(classes.select("print", "low.doc_id", "low._row", "n", "regs").withColumn("rep", F.monotonically_increasing_id()), "reps")
+    classes = classes.select("print", "low.doc_id", "low._row", "n", "regs")
+    reps = space.table(classes.withColumn("rep", _numbers(sigs)), "reps")
     bands = band_rows(reps)
     keys = space.table(bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("low"), F.max("rep").alias("high")).filter("size > 1"), "keys")
     groups = space.table(bands.join(keys, "key").select("key", "rep", "low", "high"), "groups")

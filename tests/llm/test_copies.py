@@ -96,6 +96,10 @@ def test_near_copies_of_rows_that_share_an_id(spark):
     p, r, q = (" ".join("%s%d" % (c, rnd.randrange(10**6)) for _ in range(60)) for c in "prq")
     rows = [(3, p), (5, p), (5, r), (7, q), (7, q + " end"), (8, r + " more"), (None, p), (5, r)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ends = [(-(1 << 63), p), ((1 << 63) - 1, p), ((1 << 63) - 1, r), (1, q)]
+    for some in (ends, ends[1:], ends[:1] + ends[3:]):  # ids that leave no room for numbers
+        found = near.near_components(spark.createDataFrame(some + [(1, r), (1, None)], "doc_id long, text string")).collect()
+        assert len(found) == len(some) + 2 and sum(x.kept for x in found) == len(some) + 2 - sum(d == (1 << 63) - 1 and (t == r or (-(1 << 63), p) in some) for d, t in some)
     got = sorted(((x.doc_id or 0, x.n_shingles, x.component_id, x.kept) for x in near.near_components(df).collect()), key=str)
     assert got == sorted([(3, 56, 3, True), (5, 56, 3, False), (5, 56, 5, True), (5, 56, 5, True), (7, 56, 7, True), (7, 57, 7, True), (8, 57, 5, False), (0, 56, None, True)], key=str)
     left = sorted(((x.doc_id or 0, x.text) for x in near.near_dedup(df).collect()))

@@ -33,6 +33,8 @@ from stratolog.llm.shared import Workspace, held_out, made_apart, prepare, set_a
 
 #: Labelled rows that are learned from, at most.
 SAMPLE = 20_000
+#: Terms that a task counts before it passes them on.
+HELD = 150_000
 THRESHOLD = 0.3
 #: A term is learned if seen in so many contexts of toxic texts, and this many times likelier there.
 CONTEXTS, LIFT = 4, 20.0
@@ -224,11 +226,19 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn, sample: int = SAMPLE) -
 
     def count(batches):
         both = (Counter(), Counter())
+
+        def out():
+            terms = [*(both[0].keys() | both[1].keys())]
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *[pa.array([c[k] for k in terms], pa.int64()) for c in (both[1], both[0])]], ["term", "t", "c"])
+            for c in both:
+                c.clear()
+
         for b in batches:
             for t, y in zip(b["text"].to_pylist(), b["toxic"].to_pylist()):
                 both[y > 0].update(_terms(t or ""))
-        rows = [(k, both[1][k], both[0][k]) for k in both[0].keys() | both[1].keys()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["term", "t", "c"])
+                if sum(map(len, both)) > HELD:
+                    yield from out()
+        yield from out()
 
     counts = taught.mapInArrow(count, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     odds = F.col("t") / toxic / ((F.col("c") + 0.5) / (clean + 1))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from stratolog.llm import sketch
 from stratolog.llm.components import components
-from stratolog.llm.shared import Workspace, keyed, set_aside, sliced, text_bytes
+from stratolog.llm.shared import Workspace, keyed, set_aside, sliced, text_bytes, trimmed
 from stratolog.llm.shingles import shingle_sets
 
 #: Per cent.
@@ -36,7 +36,9 @@ ROWS = 5
 #: More hubs of the largest component that the other members of a group meet before they meet all.
 HUB_ROUNDS = 2
 #: Larger groups are compared in blocks of so many members.
-SMALL, BLOCK = 24, 256
+SMALL, BLOCK = 24, 512
+#: Shingles of a block that are looked at together.
+TOGETHER = 1 << 20
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -51,7 +53,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 ["doc_id", "_row", "n", "print", "regs"],
             )
 
-    return docs.select("doc_id", "_row", "text").mapInArrow(run, "doc_id long, _row long, n long, print binary, regs binary")
+    return docs.select("doc_id", "_row", "text").mapInArrow(trimmed(run), "doc_id long, _row long, n long, print binary, regs binary")
 
 
 def _registers(column) -> np.ndarray:
@@ -139,15 +141,21 @@ class Verifier:
             rep, comp, own_ = t["rep"].to_numpy(), t["component"].to_numpy(), t["own"].to_numpy()
             each = [np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()]
             n = np.array([len(x) for x in each])
-            values, at, k = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
-            doc, fine = np.repeat(np.arange(len(each)), n), (k > 1)[at]
-            column = (np.cumsum(k > 1) - 1)[at[fine]]
             same = np.zeros((len(each), len(each)), np.float32)
-            for lo in range(0, int((k > 1).sum()), 4096):
-                m = np.zeros((len(each), 4096), np.float32)
-                part = (column >= lo) & (column < lo + 4096)
-                m[doc[fine][part], column[part] - lo] = 1
-                same += m @ m.T
+            # sets are sorted: each step takes what of them lies in a range of hashes
+            steps = -(-int(n.sum()) // TOGETHER)
+            bounds = [k * ((1 << 64) // steps) for k in range(1, steps)]
+            cuts = np.array([[0, *np.searchsorted(x, np.array(bounds, np.uint64)).tolist(), len(x)] for x in each])
+            for k in range(steps):
+                parts = [x[c[k] : c[k + 1]] for x, c in zip(each, cuts)]
+                _, at, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+                fine = (times > 1)[at]
+                doc, column = np.repeat(np.arange(len(each)), cuts[:, k + 1] - cuts[:, k])[fine], (np.cumsum(times > 1) - 1)[at[fine]]
+                for lo in range(0, int((times > 1).sum()), 4096):
+                    m = np.zeros((len(each), 4096), np.float32)
+                    here = (column >= lo) & (column < lo + 4096)
+                    m[doc[here], column[here] - lo] = 1
+                    same += m @ m.T
             fit = 100.0 * same.astype(np.float64) >= least * (n[:, None] + n[None, :] - same.astype(np.float64))
             fit &= comp[:, None] != comp[None, :]
             if len(np.unique(own_)) > 1:
@@ -170,7 +178,7 @@ class Verifier:
                 yield pa.RecordBatch.from_arrays([b["rep"], pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "shingles"])
 
         asked = self.space.table(self.reps.join(ids, "rep", "left_semi").select("rep", "doc_id", "_row"), "asked")
-        new = self.space.table(self.docs.join(asked, ["doc_id", "_row"]).select("rep", "text").mapInArrow(run, "rep long, shingles binary"), "sets")
+        new = self.space.table(self.docs.join(asked, ["doc_id", "_row"]).select("rep", "text").mapInArrow(trimmed(run), "rep long, shingles binary"), "sets")
         self.known = new if self.known is None else self.known.union(new)
         return self.known
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratolog.llm.shared import Workspace, sliced
+from stratolog.llm.shared import Workspace, sliced, trimmed
 from stratolog.llm.tokens import WordTokenizer, tokenizer
 from stratolog.llm.vectors import k_means
 
@@ -248,7 +248,7 @@ def _shards(rests: DataFrame, space: Workspace, corpus: Corpus, kind, weight: in
             leaf = tree.value.leaves(rest_vectors(ids, given.value)) if tree else np.zeros(len(ids), np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf, pa.int64())], [*b.schema.names, "leaf"])
 
-    placed = space.table(rests.mapInArrow(place, rests.schema.simpleString()[len("struct<") : -1] + ", leaf long"), "placed")
+    placed = space.table(rests.mapInArrow(trimmed(place), rests.schema.simpleString()[len("struct<") : -1] + ", leaf long"), "placed")
     width = kind().itemsize
     held = placed.groupBy("leaf").agg(F.sum(F.octet_length("rest") / width + REST_TOKENS).cast("long").alias("w")).orderBy("leaf").collect()
     first, parts = shard_plan(np.array([r["w"] for r in held], np.int64), most)
@@ -278,7 +278,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, with_id
             )
             key += len(own)
 
-    coded = space.table(docs.select(id, text).mapInArrow(code, "doc_id long, key long, tokens long, full binary, rest binary"), "coded")
+    coded = space.table(docs.select(id, text).mapInArrow(trimmed(code), "doc_id long, key long, tokens long, full binary, rest binary"), "coded")
     rests = coded.filter("rest is not null").select("doc_id", "key", "tokens", "rest")
 
     def frequencies(batches):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratolog.llm.runindex import RunIndex
-from stratolog.llm.shared import Workspace, keyed, set_aside, sliced, text_bytes
+from stratolog.llm.shared import Workspace, keyed, set_aside, sliced, text_bytes, trimmed
 from stratolog.llm.shingles import mix
 from stratolog.llm.spans import joined, pack_spans, removal_report, removed_text, span_arrays
 
@@ -312,7 +312,7 @@ def shared_anchors(docs: DataFrame, ranges: int, hot: int = HOT) -> DataFrame:
             many = places > hot
             yield from _spans(codes[many].astype(np.int64) | np.int64(place) << 32, np.zeros(int(many.sum()), np.int64), np.full(int(many.sum()), -1), np.minimum(places[many], _MOST))
 
-    return docs.mapInArrow(run, _ROW).groupBy("range").applyInArrow(meet, _FOUND)
+    return docs.mapInArrow(trimmed(run), _ROW).groupBy("range").applyInArrow(meet, _FOUND)
 
 
 _MOST = (1 << 31) - 1
@@ -457,7 +457,7 @@ def indexed_matches(docs: DataFrame, ranges: int, hot: np.ndarray, shard: int =
         for found in fold.spans(shard):
             yield from _spans(*found)
 
-    return docs.mapInArrow(run, _ROW).groupBy("range").applyInArrow(meet, _FOUND)
+    return docs.mapInArrow(trimmed(run), _ROW).groupBy("range").applyInArrow(meet, _FOUND)
 
 
 def mark_matches(docs: DataFrame, hot: int = HOT) -> DataFrame:

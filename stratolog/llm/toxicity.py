@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratolog.llm.shared import Workspace, held_out, made_apart, prepare, set_aside, with_fields
+from stratolog.llm.shared import Workspace, held_out, made_apart, prepare, set_aside, trimmed, with_fields
 
 #: Labelled rows that are learned from, at most.
 SAMPLE = 20_000
@@ -240,7 +240,8 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn, sample: int = SAMPLE) -
                     yield from out()
         yield from out()
 
-    counts = taught.mapInArrow(count, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    counts = taught.mapInArrow(trimmed(count), "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    counts = space.table(counts, "counts")
     odds = F.col("t") / toxic / ((F.col("c") + 0.5) / (clean + 1))
     likely = {r["term"]: (r["t"], r["c"]) for r in counts.filter((F.col("t") >= CONTEXTS) & (odds >= LIFT)).collect()}
     words = frozenset(likely)
@@ -258,7 +259,7 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn, sample: int = SAMPLE) -
         rows = list(seen)
         yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.string()) for j in range(3)], ["term", "before", "after"])
 
-    ctx = taught.select("text", "toxic").mapInArrow(contexts, "term string, before string, after string").groupBy("term").agg(F.countDistinct("before", "after").alias("n"))
+    ctx = taught.select("text", "toxic").mapInArrow(trimmed(contexts), "term string, before string, after string").groupBy("term").agg(F.countDistinct("before", "after").alias("n"))
     varied = {r["term"]: r["n"] for r in ctx.collect()}
     # terms that occur in so many texts, of which chance makes some look toxic
     levels = sorted(((r["n"], r["count"]) for r in counts.groupBy((F.col("t") + F.col("c")).alias("n")).count().collect()), reverse=True)
@@ -300,7 +301,7 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn, sample: int = SAMPLE) -
             rows = [grammar.features(t or "") for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["toxic"], *[pa.array([r[j] for r in rows], pa.float64()) for j in range(len(KINDS))]], ["toxic", *KINDS])
 
-    got = taught.select("text", "toxic").mapInArrow(features, "toxic int, " + ", ".join(f"{k} double" for k in KINDS)).toPandas()
+    got = taught.select("text", "toxic").mapInArrow(trimmed(features), "toxic int, " + ", ".join(f"{k} double" for k in KINDS)).toPandas()
     bias, weights = _fit(got[list(KINDS)].to_numpy(float), (got["toxic"] > 0).to_numpy(float))
     if not got["threat"].any():
         # a sample without threats teaches nothing of them: one is as likely toxic as not, as without labels
@@ -318,7 +319,7 @@ def score_texts(docs: DataFrame, model: ToxicityModel, text: str = "text", out:
             scores = [model.score(grammar.features(t or "")) for t in b[text].to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, out])
 
-    return made_apart(docs, (text,), (out,), lambda inner: inner.mapInArrow(run, with_fields(inner, **{out: T.DoubleType()})))
+    return made_apart(docs, (text,), (out,), lambda inner: inner.mapInArrow(trimmed(run), with_fields(inner, **{out: T.DoubleType()})))
 
 
 def toxicity_filter(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -23,16 +23,16 @@ table gives an empty one. Columns beside those named are ignored. A word of any
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratolog.llm.lattice import BatchLattice, PieceVocab, WordModel, log_sums, refit, word_model
-from stratolog.llm.shared import Workspace, gathered, held_out, split_words, text_bytes
+from stratolog.llm.shared import Workspace, gathered, held_out, sliced
 
 VOCABULARY = "piece_bpe_32k.model"
 EM_ROUNDS = 3
@@ -40,32 +40,41 @@ EM_ROUNDS = 3
 CLASSES = 7
 #: At most so many words, the most frequent ones, are looked up in a broadcast and not by a join.
 FREQUENT = 200_000
-#: Words that a task counts before it passes them on.
-HELD = 400_000
+#: Bytes of texts whose words a task counts or looks up at once; a longer text makes a step of its own.
+STEP_BYTES = 8 << 20
 #: Distinct words whose lattices are worked on at once.
 STEP_WORDS = 100_000
 
 
+def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The words of texts with A-Z lowered, and the place of each one's text; null is empty."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    rows, words = pc.list_parent_indices(lists), pc.list_flatten(lists)
+    some = pc.greater(pc.binary_length(words), 0)  # white space at an end of a text leaves an empty word there
+    return rows.filter(some).to_numpy(), words.filter(some).cast(pa.binary())
+
+
 def count_words(docs: DataFrame, classes: int) -> DataFrame:
     """(word, n, c0, c1, ...): counts in all texts and in training texts by class; docs has text and class (-1: not for training)."""
     names = ["word", "n", *[f"c{k}" for k in range(classes)]]
 
+    def counted(held):
+        words = pa.concat_arrays([w for w, _ in held]).dictionary_encode()
+        at = words.indices.to_numpy().astype(np.int64) * (classes + 1) + np.concatenate([c for _, c in held])
+        got = np.bincount(at, minlength=len(words.dictionary) * (classes + 1)).reshape(-1, classes + 1)
+        return pa.RecordBatch.from_arrays([words.dictionary, pa.array(got.sum(axis=1)), *[pa.array(c) for c in got.T[1:].copy()]], names)
+
     def count(batches):
-        of = [Counter() for _ in range(classes + 1)]
-
-        def out():
-            words = list(set().union(*of))
-            got = [[c[w] for w in words] for c in of]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(np.sum(got, axis=0, dtype=np.int64)), *[pa.array(x, pa.int64()) for x in got[:-1]]], names)
-            for c in of:
-                c.clear()
-
-        for b in batches:
-            for t, k in zip(text_bytes(b["text"]), b["class"].to_pylist()):
-                of[k].update(split_words(t))
-                if sum(map(len, of)) > HELD:
-                    yield from out()
-        yield from out()
+        held, size = [], 0
+        for b in sliced(batches, "text", STEP_BYTES):
+            rows, words = words_of(b["text"])
+            held.append((words, b["class"].to_numpy()[rows] + 1))
+            size += words.nbytes
+            if size > STEP_BYTES:
+                yield counted(held)
+                held, size = [], 0
+        if held:
+            yield counted(held)
 
     parts = docs.select("text", "class").mapInArrow(count, "word binary, n long, " + ", ".join(f"c{k} long" for k in range(classes)))
     return parts.groupBy("word").agg(*[F.sum(c).alias(c) for c in names[1:]])
@@ -183,31 +192,29 @@ def score_texts(docs: DataFrame, held, by=None, vocabulary: str | None = None, i
     table = space.table(words.mapInArrow(weigh, "word binary, n long, seen boolean, base double, " + ", ".join(f"{x} double" for x in lp)), "weights")
     least = _frequency_bound(table)
     frequent = table.filter(F.col("n") > least).toPandas()
-    head = spark.sparkContext.broadcast(({bytes(w): i for i, w in enumerate(frequent["word"])}, frequent[["seen", "base", *lp]].to_numpy(float)))
+    head = spark.sparkContext.broadcast((pa.array([bytes(w) for w in frequent["word"]], pa.binary()), frequent[["seen", "base", *lp]].to_numpy(float)))
     value_names = ["known", "base", *lp]
     ends = np.array([float(texts > 0), base_end, *p_end])
     kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), *[pa.float64()] * len(value_names)]
     names = ["row", "doc_id", "held", "word", "n", *value_names]
 
     def look_up(batches):
-        index, values = head.value
-        for b in batches:
-            tail, heads = [], []
-            for r, t in zip(b["row"].to_pylist(), text_bytes(b["text"])):
-                own = Counter(split_words(t))
-                at = [index.get(w, -1) for w in own]
-                k = np.fromiter(own.values(), np.float64, len(own))
-                a = np.array(at, np.int64)
-                fine = a >= 0
-                heads.append((k[fine].sum() + 1, *(k[fine] @ values[a[fine]] + ends)))
-                if not fine.all():
-                    tail += [(r, w, n) for (w, n), i in zip(own.items(), at) if i < 0]
-            rows, h = b["row"].to_pylist(), np.array(heads)
-            yield pa.RecordBatch.from_arrays([b["row"], b["doc_id"], pa.array([k < 0 for k in b["class"].to_pylist()]), pa.array([b" %d" % r for r in rows], pa.binary()), pa.array(h[:, 0].astype(np.int64)), *[pa.array(x) for x in h[:, 1:].T.copy()]], names)  # no word holds a space
-            for lo in range(0, len(tail), 100_000):
-                part = tail[lo : lo + 100_000]
-                none = [pa.nulls(len(part), t) for t in kinds]
-                none[0], none[3], none[4] = (pa.array([x[i] for x in part], t) for i, t in ((0, pa.int64()), (1, pa.binary()), (2, pa.int64())))
+        first, values = head.value
+        columns = values.T.copy()
+        for b in sliced(batches, "text", STEP_BYTES):
+            at, words = words_of(b["text"])
+            coded = pa.concat_arrays([first, words]).dictionary_encode()  # so frequent words keep their places
+            code = coded.indices.to_numpy()[len(first) :].astype(np.int64)
+            fine = code < len(first)
+            rows, known = at[fine], code[fine]
+            sums = [pa.array(np.bincount(rows, c[known], len(b)) + e) for c, e in zip(columns, ends)]
+            keys = pa.array([b" %d" % r for r in b["row"].to_pylist()], pa.binary())  # no word holds a space
+            yield pa.RecordBatch.from_arrays([b["row"], b["doc_id"], pc.less(b["class"], 0), keys, pa.array(np.bincount(rows, minlength=len(b)) + 1), *sums], names)
+            pairs, n = np.unique(at[~fine].astype(np.int64) * len(coded.dictionary) + code[~fine], return_counts=True)
+            for lo in range(0, len(pairs), 100_000):
+                row, word = np.divmod(pairs[lo : lo + 100_000], len(coded.dictionary))
+                none = [pa.nulls(len(row), t) for t in kinds]
+                none[0], none[3], none[4] = b["row"].take(pa.array(row)), coded.dictionary.take(pa.array(word)), pa.array(n[lo : lo + 100_000])
                 yield pa.RecordBatch.from_arrays(none, names)
 
     rows = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(look_up, "row long, doc_id long, held boolean, word binary, n long, " + ", ".join(f"{x} double" for x in value_names))

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -212,6 +213,14 @@ def test_lattice_sums_all_segmentations(vocab):
     assert math.isclose(i.sum(), len(words), rel_tol=1e-9)
 
 
+def test_lm_words_are_those_of_the_pattern():
+    texts = [b" A\xff b", None, b"", b"\x1c\xc2\xa0  Q\x0b\x0cz\r\n", b"\t", "ÄA\u2003b".encode()]
+    rows, words = lm.words_of(pa.array(texts, pa.binary()).view(pa.string()))
+    want = [(k, w.lower()) for k, t in enumerate(texts) for w in re.findall(rb"[^\x20\x09-\x0D]+", t or b"")]
+    assert [*zip(rows.tolist(), words.to_pylist())] == want
+    assert len(lm.words_of(pa.array([], pa.string()))[1]) == 0
+
+
 def test_lm_base_score_by_brute_force(spark, sf, texts):
     got = {r.doc_id: r for r in lm.query(spark, sf).collect()}
     c = Counter()
@@ -243,9 +252,10 @@ def segmentations(model, word, at=-1):
     return total
 
 
-@pytest.mark.parametrize("classes", [7, 1])
-def test_lm_score_by_brute_force(spark, monkeypatch, classes):
-    """Scores equal the sum over classes of the product of the words' sums over all segmentations."""
+@pytest.mark.parametrize(("classes", "frequent"), [(7, lm.FREQUENT), (1, 3)])
+def test_lm_score_by_brute_force(spark, monkeypatch, classes, frequent):
+    """Scores equal the sum over classes of the product of the words' sums over all segmentations, wherever words are looked up."""
+    monkeypatch.setattr(lm, "FREQUENT", frequent)
     rows = [(1, "the old cat sat on the mat", "en"), (2, "the cat and the dog", "en"), (3, "le chat est sur la table", "fr"), (4, "le chien et le chat", "fr"), (5, "ein hund", "de"), (11, "THE unseen dogcat le 木", "fr"), (12, "", "en"), (13, None, None), (14, "catcat catcat", "de")]
     held = {11, 12, 14}
     models, fit = [], lm.fit_pieces

@@ -1,9 +1,9 @@
 """Whole-text token ids of a public word tokenizer, with an exact cache of words.
 
-The tokenizer splits a text into words, digits and runs of signs, and codes each by itself. So each
-distinct one is coded once, by the library, and texts are looked up. Texts with characters beyond Latin
-letters, with unusual white space or with a special token's opening go to the library whole: there its
-tables of Unicode decide.
+The tokenizer splits a text into words, digits and runs of signs, and codes each by itself. So all texts of
+a call are split at once, in arrays of their bytes, and each distinct part is coded once, by the library;
+parts are looked up by their bytes. Texts with characters beyond Latin letters, with unusual white space or
+with a special token's opening go to the library whole: there its tables of Unicode decide.
 """
 
 from __future__ import annotations
@@ -11,90 +11,120 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Cached words at most; a full cache starts anew.
 HELD = 1_000_000
 _LATIN = [chr(c) for c in range(0x250)]
-_LETTERS = re.escape("".join(c for c in _LATIN if unicodedata.category(c)[0] == "L"))
-_NUMBERS = re.escape("".join(c for c in _LATIN if unicodedata.category(c)[0] == "N"))
-_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
-_ODD = re.compile("[^\t\n\r -~¡-įı-ɏ]|<\\|")
+#: Letters whose small forms lie beyond, as that of Ɓ, go to the library too.
+_ODD = re.compile("[^\t\n\r -~" + "".join(c for c in _LATIN[0xA1:] if len(c.lower()) == 1 and c.lower() in _LATIN) + "]")
+_SPACE, _LETTER, _NUMBER, _SIGN = range(4)
+#: The kind of each character below U+0250; white space is what texts with no odd character hold.
+_KINDS = np.array([_SPACE if c in "\t\n\r " else {"L": _LETTER, "N": _NUMBER}.get(unicodedata.category(c)[0], _SIGN) for c in _LATIN], np.uint8)
+
+
+def split_parts(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The parts of lower-case texts without odd characters, and where each text's parts begin and the last one's end.
+
+    Parts are what the tokenizer's pattern finds: 's|'t|'re|'ve|'m|'ll|'d, runs of letters, single numbers and
+    runs of signs.
+    """
+    joined = "\n".join(texts).encode()
+    # two bytes more, so that looking ahead needs no bounds
+    text = np.frombuffer(joined + b"\n\n", np.uint8)
+    kind = _KINDS[text]
+    if not joined.isascii():
+        lead = np.flatnonzero(text >= 0xC0)
+        kind[lead] = kind[lead + 1] = _KINDS[(text[lead] & 0x1F).astype(np.int64) << 6 | text[lead + 1] & 0x3F]
+    full = kind != _SPACE
+    first = full.copy()
+    first[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == _NUMBER)
+    if not joined.isascii():
+        first[lead + 1] = False
+    # an apostrophe within signs belongs to them
+    at = np.flatnonzero(first & (text == ord("'")))
+    one, two = text[at + 1], text[at + 2]
+    short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+    long = ((one == ord("l")) & (two == ord("l"))) | ((two == ord("e")) & ((one == ord("r")) | (one == ord("v"))))
+    at, n = at[short | long], np.where(short, 2, 3)[short | long]
+    first[at + 1] = False
+    first[at + n] = full[at + n]
+    # parts without what lies between them
+    place, begin = np.cumsum(full, dtype=np.int32), np.flatnonzero(first)
+    offsets = np.append(place[begin] - 1, place[-1:])
+    parts = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(text[full])])
+    sizes = np.fromiter(map(len, texts if joined.isascii() else map(str.encode, texts)), np.int64, len(texts))
+    return parts, np.searchsorted(begin, np.append(0, np.cumsum(sizes + 1)))
 
 
 class WordTokenizer:
     def __init__(self, path: str, held: int = HELD):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library, self.held = Tokenizer.from_file(path), held
+        # the same model for parts, which need no normalizer and no pattern
+        self.coder = Tokenizer(self.library.model)
+        self.coder.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.library.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for p, i in vocab.items() if p.endswith("</w>")]] = True
         self._reset()
 
     def _reset(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat, self.offset, self.size = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        self.used = 0
+        self.index: dict[bytes, int] = {}
+        self.flat, self.offset, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
+        flat, sizes = [self.flat], [self.size]
         for lo in range(0, len(words), 20_000):
-            part = words[lo : lo + 20_000]
-            got = [np.array(e.ids, np.uint32) for e in self.library.encode_batch([" ".join(part[k : k + 100]) for k in range(0, len(part), 100)], add_special_tokens=False)]
+            part = [w.decode() for w in words[lo : lo + 20_000]]
+            got = [np.array(e.ids, np.uint32) for e in self.coder.encode_batch_fast([" ".join(part[k : k + 100]) for k in range(0, len(part), 100)], add_special_tokens=False)]
             ids = np.concatenate(got)
             last = np.flatnonzero(self.ends[ids])
             if len(last) != len(part):  # a word that codes otherwise beside others
-                got = [np.array(e.ids, np.uint32) for e in self.library.encode_batch(part, add_special_tokens=False)]
+                got = [np.array(e.ids, np.uint32) for e in self.coder.encode_batch_fast(part, add_special_tokens=False)]
                 ids, size = np.concatenate(got), np.array([len(x) for x in got])
             else:
                 size = np.diff(last, prepend=-1)
-            self.index.update(zip(part, range(len(self.index), len(self.index) + len(part))))
-            self.flat.append(ids)
-            self.size.append(size)
-            self.offset.append(np.cumsum(size) - size + self.used)
-            self.used += len(ids)
-        self.flat, self.size, self.offset = [np.concatenate(self.flat)], [np.concatenate(self.size)], [np.concatenate(self.offset)]
-
-    def _look_up(self, words: list[str]) -> np.ndarray:
+            flat.append(ids)
+            sizes.append(size.astype(np.int32))
+        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
+        self.flat, self.size = np.concatenate(flat), np.concatenate(sizes)
+        self.offset = np.cumsum(self.size, dtype=np.int32) - self.size
+
+    def _look_up(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids of each): as the library codes each text, without special tokens."""
-        parts, whole = [], {}
-        for k, t in enumerate(texts):
-            if _ODD.search(t):
-                whole[k] = np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32)
-                parts.append([])
-            else:
-                parts.append(_PARTS.findall(t.lower()))
-        words = list(chain.from_iterable(parts))
+        whole = {k: np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32) for k, t in enumerate(texts) if "<|" in t or _ODD.search(t)}
+        parts, cuts = split_parts(["" if k in whole else t.lower() for k, t in enumerate(texts)])
+        coded = parts.dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         at = self._look_up(words)
         missing = np.flatnonzero(at < 0).tolist()
         if missing:
-            new = list(dict.fromkeys(words[k] for k in missing))
+            new = [words[k] for k in missing]
             if len(new) + len(self.index) > self.held:
                 self._reset()
-                self._learn(list(dict.fromkeys(words)))
-                at = self._look_up(words)
-            else:
-                self._learn(new)
-                at[missing] = self._look_up([words[k] for k in missing])
-        counts, flats = np.zeros(len(texts), np.int64), []
-        size, offset, flat = self.size[0][at], self.offset[0][at], self.flat[0]
-        ids = flat[np.repeat(offset - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
-        cuts = np.append(0, np.cumsum(size))
-        lo = 0
-        for k, p in enumerate(parts):
-            hi = lo + len(p)
-            own = whole[k] if k in whole else ids[cuts[lo] : cuts[hi]]
-            counts[k] = len(own)
-            flats.append(own)
-            lo = hi
-        return np.concatenate(flats) if flats else np.zeros(0, np.uint32), counts
+                new = words
+            self._learn(new)
+            at = self._look_up(words)
+        at = at[coded.indices.to_numpy()]
+        size = self.size[at]
+        ends = np.append(0, np.cumsum(size, dtype=np.int64))
+        ids = self.flat[np.repeat(self.offset[at] - ends[:-1], size) + np.arange(ends[-1])]
+        cuts = ends[cuts]
+        counts = np.diff(cuts)
+        if whole:
+            counts[list(whole)] = [len(x) for x in whole.values()]
+            ids = np.concatenate([whole[k] if k in whole else ids[cuts[k] : cuts[k + 1]] for k in range(len(texts))])
+        return ids, counts
 
 
 _SHARED: dict[str, WordTokenizer] = {}

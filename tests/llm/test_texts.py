@@ -360,6 +360,29 @@ def test_cached_tokens_equal_the_library(library, texts):
         assert own.tolist() == library.library.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["aƁb xƝ", "it's 's's'll \"'s 5'd 'sam'", "ÉTÉ'S ½½²a", "''re'vex l'l"])
+def test_parts_are_those_of_the_pattern(library, text):
+    """Letters whose small forms lie beyond the table are letters still; contractions count outside signs only."""
+    ids, n = library.encode(["", text, text + "<|endoftext|>", text])
+    for t, own in zip(["", text, text + "<|endoftext|>", text], np.split(ids, np.cumsum(n)[:-1])):
+        assert own.tolist() == library.library.encode(t, add_special_tokens=False).ids
+
+
+def test_a_word_is_looked_up_once_a_call():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            Counted.asked += 1
+            return dict.get(self, *key)
+
+    tokens = WordTokenizer(public_tokenizers.path(packing.VOCABULARY))
+    tokens.encode(["one two"])
+    tokens.index = Counted(tokens.index)
+    ids, n = tokens.encode(["one two two"] * 1000)
+    assert n.tolist() == [3] * 1000 and len(ids) == 3000 and Counted.asked <= 4
+
+
 @pytest.fixture(scope="module")
 def library():
     return WordTokenizer(public_tokenizers.path(packing.VOCABULARY), held=50)

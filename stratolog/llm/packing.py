@@ -37,6 +37,8 @@ END_ID = 1
 SHARD_TOKENS, REST_TOKENS = 1 << 19, 128
 #: Rests that the centroids are fitted to, about; dimensions of their vectors; centroids of a level, at most.
 SAMPLE, WIDTH, BRANCHES = 20_000, 32, 96
+#: Rests whose terms are projected at once, so that they stay in a processor's cache.
+STEP_RESTS = 64
 #: The seed's heaviest terms that are looked up, and neighbours asked for at a time.
 QUERY_TERMS, NEIGHBOURS = 12, 32
 K1, B = 1.2, 0.75
@@ -196,6 +198,8 @@ _PROJECTIONS: dict[int, np.ndarray] = {}
 
 def rest_vectors(ids: list[np.ndarray], corpus: Corpus) -> np.ndarray:
     """Unit vectors of the rests' BM25 impacts, projected from terms to WIDTH dimensions by fixed signs."""
+    if len(ids) > STEP_RESTS:
+        return np.concatenate([rest_vectors(ids[k : k + STEP_RESTS], corpus) for k in range(0, len(ids), STEP_RESTS)])
     size = len(corpus.df)
     if size not in _PROJECTIONS:
         _PROJECTIONS[size] = np.random.default_rng(0).choice(np.array([-1, 1], np.float32), (size, WIDTH))
@@ -257,6 +261,14 @@ def _shards(rests: DataFrame, space: Workspace, corpus: Corpus, kind, weight: in
     return placed.join(F.broadcast(plan), "leaf").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("key"), "parts")).drop("leaf", "first", "parts")
 
 
+def _binaries(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The bytes of successive runs of ids, null where a run is empty."""
+    offsets = np.append(0, np.cumsum(sizes * ids.itemsize))
+    if offsets[-1] < 1 << 31:
+        return pa.Array.from_buffers(pa.binary(), len(sizes), [pa.array(sizes > 0).buffers()[1], pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(ids)])
+    return pa.array([x.tobytes() if len(x) else None for x in np.split(ids, np.cumsum(sizes)[:-1])], pa.binary())
+
+
 def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, with_ids: bool = False, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with_ids its ids."""
     space = Workspace(docs.sparkSession)
@@ -270,13 +282,14 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, with_id
         tokens, key = tokenizer(path), TaskContext.get().partitionId() << 40
         for b in sliced(batches, text):
             flat, n = tokens.encode([t or "" for t in b[text].to_pylist()])
-            own = [np.append(x, np.uint32(END_ID)).astype(kind) for x in np.split(flat, np.cumsum(n)[:-1])]
-            cut = [len(x) // window * window for x in own]
+            ids, n = np.insert(flat, np.cumsum(n), END_ID).astype(kind), n + 1
+            cut = n // window * window
+            rest = np.repeat(cut, n) <= np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)
             yield pa.RecordBatch.from_arrays(
-                [b[id], pa.array(np.arange(key, key + len(own))), pa.array([len(x) for x in own], pa.int64()), pa.array([x[:c].tobytes() if c else None for x, c in zip(own, cut)], pa.binary()), pa.array([x[c:].tobytes() if c < len(x) else None for x, c in zip(own, cut)], pa.binary())],
+                [b[id], pa.array(np.arange(key, key + len(n))), pa.array(n), _binaries(ids[~rest], cut), _binaries(ids[rest], n - cut)],
                 ["doc_id", "key", "tokens", "full", "rest"],
             )
-            key += len(own)
+            key += len(n)
 
     coded = space.table(docs.select(id, text).mapInArrow(trimmed(code), "doc_id long, key long, tokens long, full binary, rest binary"), "coded")
     rests = coded.filter("rest is not null").select("doc_id", "key", "tokens", "rest")

@@ -67,7 +67,7 @@ def band_rows(reps: DataFrame, rows: int = ROWS) -> DataFrame:
                 keys = sketch.band_keys(_registers(b["regs"]), rows)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(b["rep"].to_numpy(), keys.shape[1]))], ["key", "rep"])
 
-    return reps.select("rep", "regs").mapInArrow(run, "key long, rep long")
+    return reps.select("rep", "regs").mapInArrow(trimmed(run), "key long, rep long")
 
 
 def plausible(pairs: DataFrame, reps: DataFrame, similarity: int) -> DataFrame:
@@ -80,7 +80,7 @@ def plausible(pairs: DataFrame, reps: DataFrame, similarity: int) -> DataFrame:
                 fine = sketch.likely_similar(_registers(b["ra"]), _registers(b["rb"]), b["na"].to_numpy(), b["nb"].to_numpy(), similarity / 100)
                 yield pa.RecordBatch.from_arrays([b["a"].filter(pa.array(fine)), b["b"].filter(pa.array(fine))], ["a", "b"])
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(trimmed(run), "a long, b long")
 
 
 class Verifier:
@@ -100,7 +100,7 @@ class Verifier:
                     for lo in range(0, len(h), 50_000):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h[lo : lo + 50_000]), r)), pa.array(h[lo : lo + 50_000])], ["rep", "shingle"])
 
-        return self._sets(ids).join(ids, "rep").mapInArrow(run, "rep long, shingle long")
+        return self._sets(ids).join(ids, "rep").mapInArrow(trimmed(run), "rep long, shingle long")
 
     def shared_sizes(self, ids: DataFrame) -> DataFrame:
         """(rep, n, shared): sizes of the sets of ids (rep), and shingles that another of them has too."""
@@ -200,7 +200,7 @@ class Verifier:
                 yield pa.RecordBatch.from_arrays([b["a"].filter(fine), b["b"].filter(fine)], ["a", "b"])
 
         side = lambda x: sets.select(F.col("rep").alias(x), F.col("shingles").alias(f"s{x}"))
-        return self.space.table(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long"), "links")
+        return self.space.table(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(trimmed(run), "a long, b long"), "links")
 
 
 def near_components(docs: DataFrame, similarity: int = SIMILARITY, hub_rounds: int = HUB_ROUNDS) -> DataFrame:

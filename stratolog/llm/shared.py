@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import functools
 import os
 import tempfile
 import uuid
@@ -31,6 +32,9 @@ def shared_folder(spark: SparkSession) -> str:
 #: with sets and long texts in its rows such a batch can outgrow an executor.
 BATCH_ROWS = 1000
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes after which such a batch ends all the same, where the session leaves the default: packed rows are large.
+BATCH_BYTES = 4 << 20
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -42,6 +46,8 @@ def prepare(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (home, there) if x)
     if int(spark.conf.get(_ROWS, "10000")) == 10_000:
         spark.conf.set(_ROWS, str(BATCH_ROWS))
+    if spark.conf.get(_BYTES, None) is None:
+        spark.conf.set(_BYTES, str(BATCH_BYTES))
 
 
 class Workspace:
@@ -146,8 +152,9 @@ def gathered(batches, rows: int):
 
 
 def trimmed(run):
-    """run, which gives freed memory back when a task ends: Python workers live on from stage to stage."""
+    """run, which gives freed memory back when a task or group ends: Python workers live on from stage to stage."""
 
+    @functools.wraps(run)  # Spark reads from the annotations how a group comes
     def task(batches):
         yield from run(batches)
         pa.default_memory_pool().release_unused()

@@ -44,6 +44,8 @@ SETTLED = 8 << 20
 PER_RANGE = 16 << 20
 #: Bytes of strings per index.
 SHARD = 1 << 18
+#: Entries of a range that are sorted at once.
+SORTED = 1 << 16
 #: Anchors with more places are dealt out by windows; at most MOST_HOT of them, the most frequent, are told to all tasks.
 HOT, MOST_HOT = 1 << 13, 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -181,24 +183,38 @@ def _strings(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Arra
 def _rows(ranges, h, d, r, start, length, strings: pa.Array | None = None) -> pa.RecordBatch:
     """Packed rows, one for each range; row keys that are all 0 take no room."""
     order = np.argsort(ranges.astype(np.int16) if len(ranges) and max(abs(int(ranges.min())), int(ranges.max())) < 1 << 15 else ranges, kind="stable")
-    ranges, h, d, r, start, length = (x[order] for x in (ranges, h, d, r, start, length))
+    ranges = ranges[order]
     cuts = np.flatnonzero(np.concatenate(([True], ranges[1:] != ranges[:-1]))) if len(ranges) else np.zeros(0, np.int64)
     bounds = list(zip(cuts.tolist(), np.append(cuts[1:], len(ranges)).tolist()))
-    packed = [[_transposed(x[lo:hi]) for lo, hi in bounds] for x in (h.astype(np.uint32), d.astype(np.int64), start.astype(np.uint32), length.astype(np.uint32))]
-    packed.insert(2, [_transposed(r[lo:hi]) if r[lo:hi].any() else b"" for lo, hi in bounds])
+
+    def packed(x, kind, none=False):
+        x = x.astype(kind, copy=False)[order]
+        return pa.array([b"" if none and not x[lo:hi].any() else _transposed(x[lo:hi]) for lo, hi in bounds], pa.binary())
+
+    columns = [packed(h, np.uint32), packed(d, np.int64), packed(r, np.int64, True), packed(start, np.uint32), packed(length, np.uint32)]
     texts: list = [None] * len(bounds)
     if strings is not None:
         zip_ = zstandard.ZstdCompressor(level=1).compress
         at, data = _flat(strings.take(pa.array(order)))
         texts = [zip_(data[at[lo] : at[hi]].tobytes()) for lo, hi in bounds]
-    return pa.RecordBatch.from_arrays([pa.array(ranges[cuts].astype(np.int32)), *[pa.array(x, pa.binary()) for x in (*packed, texts)]], ["range", "hash", "doc", "row", "start", "length", "text"])
+    return pa.RecordBatch.from_arrays([pa.array(ranges[cuts].astype(np.int32)), *columns, pa.array(texts, pa.binary())], ["range", "hash", "doc", "row", "start", "length", "text"])
 
 
 def _unpacked(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, ...]:
     """hash, doc, row key, start and length of the entries of row k."""
     h, d, s, n = (_restored(batch[c][k].as_py(), kind) for c, kind in (("hash", np.uint32), ("doc", np.int64), ("start", np.uint32), ("length", np.uint32)))
     r = batch["row"][k].as_py()
-    return h, d, _restored(r, np.int64) if r else np.zeros(len(d), np.int64), s, n
+    return h, d, _restored(r, np.int64) if r else np.broadcast_to(np.int64(0), len(d)), s, n
+
+
+def _by_parts(held: list[tuple[np.ndarray, ...]]):
+    """The entries of the unpacked rows in parts of about SORTED entries, all entries of a hash in one part."""
+    parts = -(-sum(len(x[0]) for x in held) // SORTED)
+    kind = np.uint16 if parts <= 1 << 16 else np.uint32
+    of = [(x[0].astype(np.uint64) * np.uint64(parts) >> np.uint64(32)).astype(kind) for x in held]
+    for k in range(parts):
+        own = [np.flatnonzero(p == k) for p in of]
+        yield tuple(np.concatenate([x[c][i] for x, i in zip(held, own)]) for c in range(5))
 
 
 def _spans(d, r, start, length, step: int = 100_000):
@@ -231,18 +247,16 @@ def _held(batches, entries):
         yield held
 
 
-def _by_hash(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each entry's hash the smallest and the largest doc, whether it is the first, and the entries."""
-    low, high, first, n = np.empty(len(h), np.int64), np.empty(len(h), np.int64), np.zeros(len(h), bool), np.zeros(len(h), np.int64)
-    if len(h):
-        order = np.argsort(h)
-        hs, ds = h[order], d[order]
-        new = np.concatenate(([True], hs[1:] != hs[:-1]))
-        cuts, group = np.flatnonzero(new), np.cumsum(new) - 1
-        low[order], high[order] = np.minimum.reduceat(ds, cuts)[group], np.maximum.reduceat(ds, cuts)[group]
-        n[order] = np.bincount(group)[group]
-        first[order[cuts]] = True
-    return low, high, first, n
+def _by_hash(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The group of each entry by its hash, and of each group an entry, the smallest and the largest doc and the size."""
+    order = np.argsort(h)
+    hs = h[order]
+    cuts = np.flatnonzero(np.concatenate((np.ones(min(len(h), 1), bool), hs[1:] != hs[:-1])))
+    del hs
+    n, ds, group = np.diff(np.append(cuts, len(h))), d[order], np.empty(len(h), np.int32)
+    group[order] = np.repeat(np.arange(len(cuts), dtype=np.int32), n)
+    low, high = (f.reduceat(ds, cuts) if len(h) else ds for f in (np.minimum, np.maximum))
+    return group, order[cuts], low, high, n
 
 
 def _buffers(texts: list[bytes]):
@@ -275,20 +289,25 @@ def shared_anchors(docs: DataFrame, ranges: int, hot: int = HOT) -> DataFrame:
         for data, which, start, at in _buffers(texts):
             p, h, _, _ = anchors(data, start[1:])
             own = np.searchsorted(start, p, "right") - 1
-            yield which[own], h, p - start[own] + at[own]
+            yield which[own], h, (p - start[own] + at[own]).astype(np.int32)
+
+    def dealt(held):
+        d, r, h, s = (np.concatenate(c) for c in zip(*held))
+        held.clear()
+        group, first, low, high, n = _by_hash(h, d)
+        done, n, s = (low < high)[group], n.astype(np.uint32), s.view(np.uint32)
+        if done.any():
+            # ranges below 0 hold what is settled already
+            yield _rows(-1 - ((d[done] ^ r[done]) % max(ranges, 1)), h[done], d[done], r[done], s[done], n[group[done]])
+        # what the batch knows to be shared is sent once, so that other batches learn of it
+        send = ~done
+        send[first] = True
+        known, h = done[send], h[send]
+        yield _rows(_range_of(h, ranges), h, d[send], np.where(known, 0, r[send]), np.where(known, _KNOWN, s[send]), n[group[send]])
 
     def run(batches):
         for held in _held(batches, entries):
-            d, r, h, s = (np.concatenate(c) for c in zip(*held))
-            low, high, first, n = _by_hash(h, d)
-            at, done = _range_of(h, ranges), low < high
-            # what the batch knows to be shared is sent once, so that other batches learn of it
-            known, send = done & first, ~done
-            join = lambda x, y: np.concatenate((x[send], y))
-            yield _rows(join(at, at[known]), join(h, h[known]), join(d, d[known]), join(r, np.zeros(int(known.sum()), np.int64)), join(s, np.full(int(known.sum()), _KNOWN)), join(n, n[known]))
-            if done.any():
-                # ranges below 0 hold what is settled already
-                yield _rows(-1 - ((d[done] ^ r[done]) % max(ranges, 1)), h[done], d[done], r[done], s[done], n[done])
+            yield from dealt(held)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, place = [], 0
@@ -299,20 +318,18 @@ def shared_anchors(docs: DataFrame, ranges: int, hot: int = HOT) -> DataFrame:
                     yield from _settled(b, k)
                 else:
                     held.append(_unpacked(b, k))
-        if held:
-            h, d, r, s, n = (np.concatenate(c) for c in zip(*held))
-            held.clear()
-            low, high, first, _ = _by_hash(h, d)
-            known = s == _KNOWN
-            fine = ((low < high) | np.isin(h, h[known])) & ~known
+        for h, d, r, s, n in _by_parts(held):
+            group, first, low, high, _ = _by_hash(h, d)
+            known, shared = s == _KNOWN, low < high
+            shared[group[known]] = True
+            fine = shared[group] & ~known
             yield from _spans(d[fine], r[fine], s[fine], n[fine])
             # a batch's entries of one hash all tell how many they are
-            codes, at = np.unique(h, return_inverse=True)
-            places = np.bincount(at, np.where(known, n, 1))
+            codes, places = h[first], np.bincount(group, np.where(known, n, 1))
             many = places > hot
             yield from _spans(codes[many].astype(np.int64) | np.int64(place) << 32, np.zeros(int(many.sum()), np.int64), np.full(int(many.sum()), -1), np.minimum(places[many], _MOST))
 
-    return docs.mapInArrow(trimmed(run), _ROW).groupBy("range").applyInArrow(meet, _FOUND)
+    return docs.mapInArrow(trimmed(run), _ROW).groupBy("range").applyInArrow(trimmed(meet), _FOUND)
 
 
 _MOST = (1 << 31) - 1
@@ -457,7 +474,7 @@ def indexed_matches(docs: DataFrame, ranges: int, hot: np.ndarray, shard: int =
         for found in fold.spans(shard):
             yield from _spans(*found)
 
-    return docs.mapInArrow(trimmed(run), _ROW).groupBy("range").applyInArrow(meet, _FOUND)
+    return docs.mapInArrow(trimmed(run), _ROW).groupBy("range").applyInArrow(trimmed(meet), _FOUND)
 
 
 def mark_matches(docs: DataFrame, hot: int = HOT) -> DataFrame:

@@ -3,12 +3,15 @@
 import hashlib
 import math
 import random
+import tracemalloc
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stratolog.llm import chunks, near, sketch, suffix, vectors
+from stratolog.llm import chunks, near, shared, sketch, suffix, vectors
 from stratolog.llm.components import components
 from stratolog.llm.runindex import RunIndex
 from stratolog.llm.shared import Workspace
@@ -216,6 +219,45 @@ def test_frequent_anchors_and_many_ranges(spark, texts, hot, monkeypatch):
     assert sorted(map(tuple, removal_report(suffix.mark_matches(df, hot)).collect())) == brute_long(texts)
 
 
+def test_a_range_of_anchors_meets_in_bounded_memory():
+    class Docs:
+        """Takes the functions that the operator hands to Spark."""
+
+        mapInArrow = groupBy = lambda self, *_: self
+
+        def applyInArrow(self, f, _):
+            return f
+
+    meet, rng, rows, docs_of = suffix.shared_anchors(Docs(), 1, 7), np.random.default_rng(5), [], {}
+    for _ in range(20):
+        h, d = rng.integers(0, 300_000, 20_000).astype(np.uint64) * np.uint64(14_000), rng.integers(0, 1 << 40, 20_000)
+        rows.append(suffix._rows(np.zeros(len(h), np.int64), h, d, np.zeros(len(h), np.int64), d % 999, np.ones(len(h), np.int64)))
+        for x, y in zip(h.tolist(), d.tolist()):
+            docs_of.setdefault(x, []).append(y)
+    batch = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+    got = [r for b in meet(iter([batch])) for r in zip(*(c.to_pylist() for c in b.columns))]
+    assert sorted(r for r in got if r[2] >= 0) == sorted((d, 0, d % 999, 1) for ds in docs_of.values() if len(set(ds)) > 1 for d in ds)
+    assert sorted(r for r in got if r[2] < 0) == sorted((h, 0, -1, len(ds)) for h, ds in docs_of.items() if len(ds) > 7)
+    tracemalloc.start()
+    for _ in meet(iter([batch])):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * batch.nbytes
+
+
+def test_large_rows_come_in_small_batches(spark):
+    shared.prepare(spark)
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(b)]), pa.array([b.nbytes])], ["n", "size"])
+
+    rows = spark.range(24).select((F.col("id") % 1).alias("range"), F.expr("cast(repeat('x', 1048576) as binary)").alias("text"))
+    got = rows.groupBy("range").applyInArrow(shared.trimmed(sizes), "n long, size long").collect()
+    assert sum(r.n for r in got) == 24 and max(r.size for r in got) < shared.BATCH_BYTES + (2 << 20)
+
+
 def test_hot_anchors_are_bounded(spark):
     rows = [(k, 0, -1, 1 << k % 7) for k in range(70)] + [(5, 0, 9, 1)]
     df = spark.createDataFrame(rows, "doc_id long, _row long, start int, length int")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratolog.llm.shared import Workspace, sliced, trimmed
-from stratolog.llm.tokens import WordTokenizer, tokenizer
+from stratolog.llm.tokens import CODING, WordTokenizer, tokenizer
 from stratolog.llm.vectors import k_means
 
 VOCABULARY = "word_bpe_49k.json"
@@ -240,7 +240,7 @@ def _shards(rests: DataFrame, space: Workspace, corpus: Corpus, kind, weight: in
     # a sample by content, in which equal rows are one
     h = F.xxhash64("doc_id", "rest")
     part = rests.select(h.alias("h"), "rest").filter(F.pmod("h", F.lit(1 << 20)) < max(1, -(-(SAMPLE << 20) // corpus.n)))
-    part = part.dropDuplicates(["h"]).orderBy("h").limit(2 * SAMPLE).mapInArrow(vectors, "h long, x binary").orderBy("h").toArrow()
+    part = part.dropDuplicates(["h"]).orderBy("h").limit(2 * SAMPLE).mapInArrow(trimmed(vectors), "h long, x binary").orderBy("h").toArrow()
     sample = np.frombuffer(b"".join(part["x"].to_pylist()), np.float32).reshape(-1, WIDTH).astype(np.float64)
     # some leaves a shard
     branches = int(min(BRANCHES, max(2, np.ceil(np.sqrt(4 * weight / most)))))
@@ -256,7 +256,8 @@ def _shards(rests: DataFrame, space: Workspace, corpus: Corpus, kind, weight: in
     width = kind().itemsize
     held = placed.groupBy("leaf").agg(F.sum(F.octet_length("rest") / width + REST_TOKENS).cast("long").alias("w")).orderBy("leaf").collect()
     first, parts = shard_plan(np.array([r["w"] for r in held], np.int64), most)
-    plan = spark.createDataFrame([(r["leaf"], f, p) for r, f, p in zip(held, first.tolist(), parts.tolist())], "leaf long, first long, parts long")
+    # as Arrow, since rows of Python objects would start workers of another kind beside those of the steps
+    plan = spark.createDataFrame(pa.table({"leaf": pa.array([r["leaf"] for r in held], pa.int64()), "first": pa.array(first, pa.int64()), "parts": pa.array(parts, pa.int64())}))
     # a leaf's shards take its rows by their keys, so that equal rows are spread too
     return placed.join(F.broadcast(plan), "leaf").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("key"), "parts")).drop("leaf", "first", "parts")
 
@@ -291,7 +292,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, with_id
             )
             key += len(n)
 
-    coded = space.table(docs.select(id, text).mapInArrow(trimmed(code), "doc_id long, key long, tokens long, full binary, rest binary"), "coded")
+    coded = space.table(docs.select(id, text).mapInArrow(trimmed(code, CODING), "doc_id long, key long, tokens long, full binary, rest binary"), "coded")
     rests = coded.filter("rest is not null").select("doc_id", "key", "tokens", "rest")
 
     def frequencies(batches):
@@ -303,7 +304,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, with_id
 
     n, total = rests.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("rest")), F.lit(0))).first()
     total //= kind().itemsize
-    counted = rests.select("rest").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # the vocabulary's size at most
+    counted = rests.select("rest").mapInArrow(trimmed(frequencies), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # the vocabulary's size at most
     df = np.zeros(size, np.int64)
     df[counted["term"].to_numpy()] = counted["n"].to_numpy()
     corpus = Corpus(n, total / max(n, 1), df)
@@ -332,7 +333,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, with_id
         return pa.Table.from_arrays(*pieces(rows, t["doc_id"].to_pylist(), own, [n - len(x) for n, x in zip(tokens, own)], tokens))
 
     weight = total + n * REST_TOKENS
-    full = coded.filter("full is not null").select("doc_id", "tokens", "full").mapInArrow(whole, schema)
+    full = coded.filter("full is not null").select("doc_id", "tokens", "full").mapInArrow(trimmed(whole), schema)
     return full.unionAll(_shards(rests, space, corpus, kind, weight).groupBy("shard").applyInArrow(shard, schema))
 
 

@@ -50,6 +50,16 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(_BYTES, str(BATCH_BYTES))
 
 
+def give_back(spark: SparkSession) -> None:
+    """Let each executor collect its garbage, so that heap which the stages before grew goes back to the system.
+
+    A JVM's heap grows in a stage and else hardly shrinks, while the next stage's Python workers need the room.
+    One task for each core reaches all executors where none is busy.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 class Workspace:
     """Intermediate tables as Parquet in the shared folder, which cut lineage and outlive executors.
 
@@ -151,11 +161,33 @@ def gathered(batches, rows: int):
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def trimmed(run):
-    """run, which gives freed memory back when a task or group ends: Python workers live on from stage to stage."""
+#: What a Python worker keeps from task to task, by the step that uses it.
+_KEPT: dict[str, dict] = {}
+
+
+def kept(step: str, key, make):
+    """What make returns, kept by this process for tasks of the step."""
+    own = _KEPT.setdefault(step, {})
+    if key not in own:
+        own[key] = make()
+    return own[key]
+
+
+def forget(but: str = "") -> None:
+    """Let go what this process keeps for all steps but one."""
+    for step in [x for x in _KEPT if x != but]:
+        del _KEPT[step]
+
+
+def trimmed(run, keeps: str = ""):
+    """run, which gives freed memory back when a task or group ends: Python workers live on from stage to stage.
+
+    What the worker keeps for steps other than `keeps` goes first.
+    """
 
     @functools.wraps(run)  # Spark reads from the annotations how a group comes
     def task(batches):
+        forget(keeps)
         yield from run(batches)
         pa.default_memory_pool().release_unused()
         libc = ctypes.CDLL(None)

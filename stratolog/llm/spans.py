@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratolog.llm.shared import sliced, text_bytes, with_fields
+from stratolog.llm.shared import sliced, text_bytes, trimmed, with_fields
 
 
 def merge_spans(start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,4 +90,4 @@ def removed_text(marked: DataFrame, least: int = 1) -> DataFrame:
                 texts.append(t)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b[c] for c in columns], columns)
 
-    return marked.mapInArrow(run, schema)
+    return marked.mapInArrow(trimmed(run), schema)

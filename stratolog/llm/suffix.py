@@ -130,7 +130,7 @@ def _zipped(docs: DataFrame) -> DataFrame:
         for b in sliced(batches, "text"):
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["_row"], pa.array([zip_(t) if t else None for t in text_bytes(b["text"])], pa.binary())], ["doc_id", "_row", "text"])
 
-    return docs.mapInArrow(run, "doc_id long, _row long, text binary")
+    return docs.mapInArrow(trimmed(run), "doc_id long, _row long, text binary")
 
 
 def _parts(raw: bytes):

@@ -16,6 +16,8 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 
+from stratolog.llm.shared import kept
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Cached words at most; a full cache starts anew.
@@ -142,11 +144,10 @@ class WordTokenizer:
         return ids, counts
 
 
-_SHARED: dict[str, WordTokenizer] = {}
+#: The step for which a worker keeps its tokenizer.
+CODING = "coding"
 
 
 def tokenizer(path: str) -> WordTokenizer:
-    """The worker process's tokenizer, whose cache lasts from task to task."""
-    if path not in _SHARED:
-        _SHARED[path] = WordTokenizer(path)
-    return _SHARED[path]
+    """The worker process's tokenizer, whose cache lasts from task to task of the step CODING."""
+    return kept(CODING, path, lambda: WordTokenizer(path))

@@ -29,6 +29,15 @@ def test_stages_agree_with_brute_force(spark, sf):
     assert sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in final.collect())[0][0] == min(of[4])
 
 
+def test_stages_begin_with_the_heap_given_back(spark, sf):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        before = sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+        stage(spark, docs, sf)
+        assert sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName()) > before
+
+
 def test_stages_on_odd_rows(spark, odd, empty, tmp_path):
     spark.createDataFrame([(4, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     for start in (odd, empty):

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from stratolog.llm import chat, lm, packing, pieces, quality, toxicity
 from stratolog.llm.lattice import BatchLattice, PieceVocab, word_model
+from stratolog.llm.shared import kept, trimmed
 from stratolog.llm.tokens import WordTokenizer
 
 
@@ -368,6 +369,28 @@ def test_parts_are_those_of_the_pattern(library, text):
         assert own.tolist() == library.library.encode(t, add_special_tokens=False).ids
 
 
+def test_workers_let_the_tokenizer_go_after_coding(spark, sf):
+    """Python workers live on, and the stages behind packing's first one need the room."""
+    import gc
+
+    def look(batches):
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([sum(isinstance(x, WordTokenizer) for x in gc.get_objects())])], ["n"])
+
+    packing.pack(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").repartition(4)).collect()
+    assert {r.n for r in spark.range(0, 8, 1, 4).mapInArrow(trimmed(look), "n long").collect()} == {0}
+
+
+def test_a_step_keeps_its_own_from_task_to_task():
+    made = []
+    task = trimmed(lambda _: iter([kept("coding", "x", lambda: made.append(1))]), "coding")
+    [*task([]), *task([])]
+    assert len(made) == 1
+    [*trimmed(lambda _: iter([]))([]), *task([])]
+    assert len(made) == 2
+
+
 def test_a_word_is_looked_up_once_a_call():
     class Counted(dict):
         asked = 0
